@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sutur.plans import nested
+from sutur.plans import nested, references
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (nested,)
+_MODULES = (nested, references)
 
 
 def queries() -> dict[str, Query]:
