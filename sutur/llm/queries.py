@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sutur.llm.residue import judge_documents
+from sutur.llm.splits import assign_splits, broken_groups, current_partitions, related_groups, requested_ratios, split_report
 from sutur.llm.terms import marked_terms
 from sutur.llm.tokens import encode_corpus
 from sutur.session import table
@@ -19,8 +20,26 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 
 
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_groups(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "document_entities"))
+
+
+def _found_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_groups(_groups(spark, sf_dir), current_partitions(table(spark, sf_dir, "split_metadata")))
+
+
+def _assigned(spark: SparkSession, sf_dir: str, report: bool) -> DataFrame:
+    manifest, ratios = table(spark, sf_dir, "manifest"), requested_ratios(table(spark, sf_dir, "split_metadata"))
+    assigned = assign_splits(_groups(spark, sf_dir), manifest, ratios)
+    return split_report(assigned, manifest, ratios) if report else assigned
+
+
 def queries() -> dict:
     return {
+        "p2_found": _found_groups,
+        "p2_groups": _groups,
+        "p2_assign": lambda s, d: _assigned(s, d, report=False),
+        "p2_report": lambda s, d: _assigned(s, d, report=True),
         "p5_found": lambda s, d: _terms(s, d).where("mark is not null").select("field", "term", "mark"),
         "p5_terms": lambda s, d: _terms(s, d),
         "p6_ids": lambda s, d: encode_corpus(table(s, d, "documents")),

@@ -32,8 +32,47 @@ with once as (
 """
 
 
+
+def _canon(column: str) -> str:
+    """Canonical spelling of an id: letter case, outer blanks and Urdu digits levelled."""
+    return f"translate(lower(regexp_replace({column}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')), '۰۱۲۳۴۵۶۷۸۹', '0123456789')"
+
+
+_GROUPS = f"""
+with recursive docs as (
+  select distinct document_id, {_canon('document_id')} as k from manifest where document_id is not null
+), links as (
+  select distinct {_canon('document_id')} as k, entity_kind as kind, {_canon('entity_id')} as e
+  from document_entities where document_id is not null and entity_id is not null and entity_kind is not null
+), usable as (
+  select distinct k, kind, e from links where e not in ('', 'unknown', 'n/a', '-') and k in (select k from docs)
+), edges as (
+  select distinct a.k as a, b.k as b from usable a join usable b on a.kind = b.kind and a.e = b.e
+  union select k, k from docs
+), reach as (
+  select a, b from edges
+  union
+  select r.a, e.b from reach r join edges e on r.b = e.a
+), roots as (
+  select a as k, min(b) as root from reach group by a
+), groups as (
+  select min(document_id) over (partition by root) as group_id, document_id from docs join roots using (k)
+), latest as (
+  select document_id, arg_max(struct_pack(p := "partition"), (assigned_at, assignment_id)).p as raw from split_metadata group by document_id
+), named as (
+  select document_id, lower(regexp_replace(raw, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')) as p from latest
+), parts as (
+  select document_id, case p when 'val' then 'validation' when '' then null else p end as p from named
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_groups": _GROUPS + "select group_id, document_id from groups",
+        "p2_found": _GROUPS
+        + """select group_id, document_id from groups where group_id in (
+               select group_id from groups join parts using (document_id) group by group_id having count(distinct p) > 1)""",
         "p5_found": _TERMS + "select field, term, mark from terms where mark is not null",
         "p5_terms": _TERMS + "select * from terms",
     }
