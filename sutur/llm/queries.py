@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sutur.llm.overlap import cross_split_pairs, cross_split_report
 from sutur.llm.residue import judge_documents
 from sutur.llm.splits import assign_splits, broken_groups, current_partitions, related_groups, requested_ratios, split_report
 from sutur.llm.terms import marked_terms
@@ -40,6 +41,8 @@ def queries() -> dict:
         "p2_groups": _groups,
         "p2_assign": lambda s, d: _assigned(s, d, report=False),
         "p2_report": lambda s, d: _assigned(s, d, report=True),
+        "p3_found": lambda s, d: cross_split_pairs(table(s, d, "manifest"), table(s, d, "split_metadata")),
+        "p3_report": lambda s, d: cross_split_report(table(s, d, "manifest"), table(s, d, "split_metadata")),
         "p5_found": lambda s, d: _terms(s, d).where("mark is not null").select("field", "term", "mark"),
         "p5_terms": lambda s, d: _terms(s, d),
         "p6_ids": lambda s, d: encode_corpus(table(s, d, "documents")),
