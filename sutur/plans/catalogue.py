@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sutur.plans import nested, references
+from sutur.plans import corpus, nested, pages, references
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (nested, references)
+_MODULES = (nested, references, corpus, pages)
 
 
 def queries() -> dict[str, Query]:
