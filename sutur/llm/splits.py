@@ -173,9 +173,7 @@ def balanced_bins(components: DataFrame, bins: int = BINS, share: int = SHARE) -
             out = [(s, b, int(rows["share"].iloc[0]) % above, to) for to, (_, marks) in enumerate(found) for s, b in marks]
             return pd.DataFrame(out, columns=["share", "local", "above", "to"])
 
-        moves = loads.withColumn("above", F.pmod("share", F.lit(above))).groupBy("above").applyInPandas(
-            lambda rows, combine=combine: combine(rows), "share bigint, local int, above bigint, to int"
-        )
+        moves = loads.withColumn("above", F.pmod("share", F.lit(above))).groupBy("above").applyInPandas(combine, "share bigint, local int, above bigint, to int")
         current = current.join(moves, ["share", "local"]).select(
             "component", "weight", F.col("above").alias("share"), F.col("to").alias("local")
         )
