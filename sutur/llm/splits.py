@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutur.functions.text import alike, strip_blanks
-from sutur.session import drop_materialized, materialize
+from sutur.session import drop_materialized, materialize, plain_strings
 
 #: Equal bins that whole components are balanced into; components that one task balances; tuples combined in one task.
 BINS = 100
@@ -156,7 +156,7 @@ def balanced_bins(components: DataFrame, bins: int = BINS, share: int = SHARE) -
         for number, (_, marks) in enumerate(found):
             for mark in marks:
                 at[mark] = number
-        return rows.assign(local=pd.Series(at, dtype="int32"))[["component", "weight", "share", "local"]]
+        return plain_strings(rows.assign(local=pd.Series(at, dtype="int32"))[["component", "weight", "share", "local"]])
 
     current = placed.groupBy("share").applyInPandas(local, "component string, weight bigint, share bigint, local int")
     current = materialize(current, "bins")

@@ -151,6 +151,9 @@ def test_balanced_bins_and_whole_groups(spark):
         light = [loads[b] for b in range(10) if loads[b] < 3000]
         assert max(light) - min(light) <= 60
     assert splits.balanced_bins(df.limit(0), bins=10).count() == 0
+    many = spark.range(25_000).select(F.concat(F.lit("c"), "id").alias("component"), (F.pmod("id", F.lit(7)) + 1).alias("weight")).coalesce(1)
+    loads = [r.n for r in splits.balanced_bins(many).groupBy("bin").agg(F.sum("weight").alias("n")).collect()]
+    assert len(loads) == 100 and max(loads) - min(loads) <= 7
     chosen = splits.allocate_bins({b: 10 for b in range(100)}, {"train": 0.8, "validation": 0.1, "test": 0.1})
     assert Counter(chosen.values()) == {"train": 80, "validation": 10, "test": 10}
     loads = [load for load, _ in splits.largest_differencing([[(w, i), (0, None)] for i, w in enumerate([8, 7, 6, 5, 4])])]
