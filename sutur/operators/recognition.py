@@ -7,11 +7,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutur.errors import DecodingError
 from sutur.functions.sequences import collapse_path, decode, frame_path
+from sutur.session import plain_strings
 from sutur.sources.pixels import crop, grayscale, image_array, line_input, pad_lines
 
 LOGIT_SCHEMA = "logits array<array<float>>, frames int"
@@ -31,21 +33,23 @@ def recognize_lines(lines: DataFrame, load: Callable[[], Recognizer], batch_size
     keep = [f for f in lines.schema.fields if f.name != "pixels"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", " + LOGIT_SCHEMA
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for rows in batches:
-            for begin in range(0, len(rows), batch_size):
-                part = rows.iloc[begin : begin + batch_size]
-                images = [line_input(np.frombuffer(p, np.uint8).reshape(h, w)) for p, h, w in zip(part["pixels"], part["height"], part["width"])]
+            for begin in range(0, rows.num_rows, batch_size):
+                part = rows.slice(begin, batch_size)
+                shapes = zip(*(part.column(n).to_pylist() for n in ("pixels", "height", "width")))
+                images = [line_input(np.frombuffer(p, np.uint8).reshape(h, w)) for p, h, w in shapes]
                 scores, frames = model(*pad_lines(images))
-                if len(scores) != len(part) or len(frames) != len(part):
+                if len(scores) != part.num_rows or len(frames) != part.num_rows:
                     raise DecodingError("the recogniser must give one result per line")
-                out = part[[f.name for f in keep]].copy()
-                out["logits"] = [list(map(list, s)) for s in scores]
-                out["frames"] = np.asarray(frames, dtype=np.int32)
-                yield out
+                logits = pa.array([np.asarray(s).tolist() for s in scores], type=pa.list_(pa.list_(pa.float32())))
+                columns = [part.column(f.name) for f in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, logits, pa.array(np.asarray(frames, dtype=np.int32))], names=[*(f.name for f in keep), "logits", "frames"]
+                )
 
-    return lines.mapInPandas(run, schema)
+    return lines.mapInArrow(run, schema)
 
 
 def greedy_texts(scored: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -64,14 +68,16 @@ def line_crops(pages: DataFrame, regions: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra) + ", width int, height int, pixels binary"
     flat = pages.select("page_id", *[F.col(f"image.{n}").alias(f"_{n}") for n in ("height", "width", "nChannels", "data")])
 
+    # Only pages on both sides meet, so no group is empty.
+    flat = flat.join(regions.select("page_id").distinct(), "page_id", "left_semi")
+    regions = regions.join(pages.select("page_id").distinct(), "page_id", "left_semi")
+
     def cut(page: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         names = [f.name for f in extra] + ["width", "height", "pixels"]
-        if not len(page) or not len(lines):
-            return pd.DataFrame({n: [] for n in names})
         p = page.iloc[0]
         gray = grayscale(image_array(int(p["_height"]), int(p["_width"]), int(p["_nChannels"]), p["_data"]))
         lines = lines.copy()
         lines["pixels"] = [crop(gray, x, y, w, h).tobytes() for x, y, w, h in zip(lines["x"], lines["y"], lines["width"], lines["height"])]
-        return lines[names]
+        return plain_strings(lines[names])
 
     return flat.groupBy("page_id").cogroup(regions.groupBy("page_id")).applyInPandas(cut, schema)

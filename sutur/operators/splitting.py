@@ -25,7 +25,7 @@ from sutur.functions.fingerprints import canonical_json
 from sutur.functions.numbers import tie_digest
 from sutur.guards import require_unique
 from sutur.schemas import PARTITIONS
-from sutur.session import materialize
+from sutur.session import materialize, plain_strings
 
 ALGORITHM = "group-greedy-v1"
 
@@ -96,7 +96,7 @@ def assign_documents(samples: DataFrame, config: SplitConfig = SplitConfig()) ->
         rows = rows.sort_values(order, ignore_index=True)
         own = GreedyState(total, config.ratios, starts[key[0]])
         rows["partition"] = [PARTITIONS[own.take(int(size))] for size in rows["samples"]]
-        return rows[["document_id", "samples", "partition"]]
+        return plain_strings(rows[["document_id", "samples", "partition"]])
 
     return ranged.groupBy("range").applyInPandas(assign, "document_id string, samples bigint, partition string")
 

@@ -81,3 +81,12 @@ def drop_materialized(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plain_strings(rows):
+    """A pandas frame whose string columns are plain objects.
+
+    Strings of a group that came in several Arrow batches are chunked, which the way back to the
+    JVM does not take.
+    """
+    return rows.astype({c: object for c, kind in rows.dtypes.items() if str(kind) in ("str", "string")})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sutur.errors import ConfigurationError
+from sutur.session import plain_strings
 from sutur.functions.numbers import DEFAULT_DPI, MAX_BYTES, MAX_DOCUMENT_PIXELS, MAX_DPI, MAX_PAGE_PIXELS, MAX_PAGES, MIN_DPI, file_kind
 
 PAGE_SCHEMA = "document string, page_index int, width int, height int, channels int, data binary, issue string"
@@ -36,13 +37,14 @@ def checked_dpi(dpi: int | None) -> int:
 def scan_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(document, byte_size, input_sha256, kind, issue, content). Kind comes from the content, never from the name.
 
-    The length is checked first; content of files beyond the limit is not looked at.
+    The length is checked first; content of files beyond the limit is not looked at. Spark's file
+    source skips files of length 0, so they have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     large = F.col("length") > max_bytes
     content = F.when(~large, F.col("content"))
     kind = file_kind(content)
-    issue = F.when(large, "file_too_large").when(F.col("length") == 0, "empty_file").when(kind.isNull(), "unsupported_format")
+    issue = F.when(large, "file_too_large").when(kind.isNull(), "unsupported_format")
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("document"), F.col("length").alias("byte_size"), F.sha2(content, 256).alias("input_sha256"),
         kind.alias("kind"), issue.alias("issue"), F.when(issue.isNull(), content).alias("content"),
@@ -82,7 +84,7 @@ def pdf_pages(documents: DataFrame, renderer: PageRenderer, dpi: int | None = No
                 out = pd.DataFrame(rows, columns=columns)
                 for c in ("page_index", "width", "height", "channels"):
                     out[c] = out[c].astype("Int32")
-                yield out
+                yield plain_strings(out)
 
     return documents.where("kind = 'pdf'").select("document", "content").mapInPandas(run, PAGE_SCHEMA)
 

@@ -30,12 +30,17 @@ def checked_stream(deliveries: DataFrame) -> DataFrame:
     return text_issue_codes(deliveries).withColumn("contract", contract_issues())
 
 
+def _timed(deliveries: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a timestamp with the session's zone."""
+    return deliveries.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def issue_counts(deliveries: DataFrame, time: str = "loaded_at", late: str = "1 day", window: str = "1 day") -> DataFrame:
     """Issues per window and code; deliveries later than ``late`` behind the newest are dropped from the counts."""
-    issues = text_issue_codes(deliveries.withWatermark(time, late)).select(time, F.explode("codes").alias("code"))
+    issues = text_issue_codes(_timed(deliveries, time).withWatermark(time, late)).select(time, F.explode("codes").alias("code"))
     return issues.groupBy(F.window(time, window).alias("w"), "code").agg(F.count(F.lit(1)).alias("n")).select("w.start", "code", "n")
 
 
 def fresh_deliveries(deliveries: DataFrame, time: str = "loaded_at", late: str = "1 day") -> DataFrame:
     """First delivery of every sample within the watermark; repeats that arrive later than that come through again."""
-    return deliveries.withWatermark(time, late).dropDuplicatesWithinWatermark(["sample_id"])
+    return _timed(deliveries, time).withWatermark(time, late).dropDuplicatesWithinWatermark(["sample_id"])

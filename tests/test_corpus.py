@@ -91,6 +91,12 @@ def test_split_equals_sequential_rule_and_ignores_order(spark):
         splitting.SplitConfig(0.5, 0.1, 0.1)
 
 
+def test_large_ranges(spark):
+    rows = spark.range(30_000).select(F.concat(F.lit("s"), "id").alias("sample_id"), F.concat(F.lit("d"), "id").alias("document_id")).coalesce(1)
+    assigned = splitting.assign_documents(rows)
+    assert {r.partition: r.samples for r in splitting.split_counts(assigned).collect()} == {"train": 24_000, "validation": 3_000, "test": 3_000}
+
+
 def test_leakage(spark):
     split = spark.createDataFrame([("s1", "d1", "train", "t", "h"), ("s1", "d2", "validation", "u", "h"), ("s3", "d1", "validation", "t", None)], "sample_id string, document_id string, partition string, text string, h string")
     assert {tuple(r) for r in splitting.leakage(split, "h").collect()} == {("shared_sample", "s1"), ("shared_document", "d1"), ("conflicting_label", "h")}
