@@ -195,3 +195,8 @@ def test_scale_marks_and_gaps(spark):
     marks = spark.createDataFrame([("p", 7, (22, 33, 2, 2)), ("p", 8, (0, 5000, 2, 2))], f"page string, mark int, box {BOX}")
     groups = df.select("page", F.col("label").alias("group"), "box").where("label < 3")
     assert [tuple(r) for r in regions.nearest_groups(marks, groups, "page", F.lit(10)).collect()] == [("p", 7, 2)]
+
+
+def test_page_with_specks_only(spark):
+    df = spark.createDataFrame([("p", 0, 1000, 600, 1, 5, 5, 1, 1, 1)], "page_id string, page_index int, page_width int, page_height int, label int, x int, y int, width int, height int, area bigint")
+    assert layout.segment_components(df).count() == 0
