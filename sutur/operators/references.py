@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from sutur.session import materialize
 
 _MIN = np.iinfo(np.int64).min
-_FOREVER = np.iinfo(np.int64).max
+_FOREVER = "9999-12-31 23:59:59.999999"
 _EXISTS, _PARENT, _REFERENCE = 0, 1, 2
 _OUT = (
-    "pid int, edge boolean, ref_field string, row_id bigint, at timestamp_ntz, head boolean, until bigint, exists boolean, "
+    "pid int, edge boolean, ref_field string, row_id bigint, at timestamp_ntz, micros bigint, head boolean, until bigint, exists boolean, "
     "first_key string, last_field string, last_key string"
 )
 
@@ -49,7 +49,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, key = batch.column("ref_field"), batch.column("key")
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
         at = batch.column("at").cast(pa.int64()).fill_null(int(_MIN)).to_numpy(zero_copy_only=False)
-        ends = batch.column("until").fill_null(int(_MIN)).to_numpy(zero_copy_only=False)
+        ends = batch.column("until").cast(pa.int64()).fill_null(int(_MIN)).to_numpy(zero_copy_only=False)
         codes = pd.factorize(pd.MultiIndex.from_arrays([field.to_pandas(), key.to_pandas()]))[0]
         new = np.concatenate([[True], codes[1:] != codes[:-1]])
         group = np.cumsum(new) - 1
@@ -77,6 +77,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     field.take(take).cast(pa.string()),
                     batch.column("row_id").take(take),
                     batch.column("at").take(take),
+                    pa.array(at[emit]),
                     pa.array(head[emit]),
                     pa.array(running[emit]),
                     pa.array(seen[emit]),
@@ -88,7 +89,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
     if first is not None:
         row = {
-            "pid": [pid], "edge": [True], "ref_field": [first[0]], "row_id": [None], "at": [None], "head": [whole],
+            "pid": [pid], "edge": [True], "ref_field": [first[0]], "row_id": [None], "at": [None], "micros": [None], "head": [whole],
             "until": [until], "exists": [exists], "first_key": [first[1]], "last_field": [last[0]], "last_key": [last[1]],
         }
         yield pa.RecordBatch.from_pydict(row, schema=schema)
@@ -98,7 +99,7 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema(
         [
             ("pid", pa.int32()), ("edge", pa.bool_()), ("ref_field", pa.string()), ("row_id", pa.int64()),
-            ("at", pa.timestamp("us")), ("head", pa.bool_()), ("until", pa.int64()), ("exists", pa.bool_()),
+            ("at", pa.timestamp("us")), ("micros", pa.int64()), ("head", pa.bool_()), ("until", pa.int64()), ("exists", pa.bool_()),
             ("first_key", pa.string()), ("last_field", pa.string()), ("last_key", pa.string()),
         ]
     )
@@ -118,22 +119,21 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     columns of the inputs are not read.
     """
     spark = references.sparkSession
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
     no_time = F.lit(None).cast("timestamp_ntz")
     known = parents.where(F.col("key").isNotNull())
     intervals = (
         known.where(F.col("begins").isNotNull())
-        .withColumn("until", F.coalesce(micros(F.col("ends")), F.lit(int(_FOREVER))))
+        .withColumn("until", F.coalesce("ends", F.lit(_FOREVER).cast("timestamp_ntz")))
         .groupBy("ref_field", "key", F.col("begins").alias("at"))
         .agg(F.max("until").alias("until"))
         .select("ref_field", "key", "at", F.lit(_PARENT).alias("kind"), "until", F.lit(None).cast("bigint").alias("row_id"))
     )
     marks = known.groupBy("ref_field", "key").agg(F.lit(0).alias("_")).select(
         "ref_field", "key", no_time.alias("at"), F.lit(_EXISTS).alias("kind"),
-        F.lit(None).cast("bigint").alias("until"), F.lit(None).cast("bigint").alias("row_id"),
+        no_time.alias("until"), F.lit(None).cast("bigint").alias("row_id"),
     )
     asked = references.where(F.col("key").isNotNull()).select(
-        "ref_field", "key", "at", F.lit(_REFERENCE).alias("kind"), F.lit(None).cast("bigint").alias("until"), "row_id"
+        "ref_field", "key", "at", F.lit(_REFERENCE).alias("kind"), no_time.alias("until"), "row_id"
     )
     order = ["ref_field", "key", "at", "kind", "row_id"]  # null times first: marks, then references without a time
     stream = asked.unionByName(intervals).unionByName(marks).select(*order, "until")
@@ -157,9 +157,8 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     before = F.when(F.col("head"), F.col("until_before"))
     until = F.greatest(F.col("until"), F.coalesce(before, F.lit(int(_MIN))))
     exists = F.col("exists") | F.coalesce(F.when(F.col("head"), F.col("exists_before")), F.lit(False))
-    at = F.coalesce(micros(F.col("at")), F.lit(int(_MIN)))
     kind = F.when(until > F.lit(int(_MIN)), "deleted").when(exists, "late").otherwise("missing")
-    orphans = found.where(until <= at).select("ref_field", "row_id", "at", kind.alias("kind"))
+    orphans = found.where(until <= F.col("micros")).select("ref_field", "row_id", "at", kind.alias("kind"))
     rejected = references.where(F.col("key").isNull()).select("ref_field", "row_id", "at", F.lit("missing").alias("kind"))
     return orphans.unionByName(rejected)
 
