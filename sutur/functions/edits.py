@@ -38,10 +38,14 @@ def _cost_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def alignment(reference: Sequence[Hashable], hypothesis: Sequence[Hashable]) -> list[tuple[str, Hashable | None, Hashable | None]]:
     """Steps (operation, reference token, hypothesis token) of the preferred optimal alignment."""
-    a, b = _coded(reference, hypothesis)
-    table = _cost_rows(a, b)
-    i, j = len(a), len(b)
+    i, j = len(reference), len(hypothesis)
     steps: list[tuple[str, Hashable | None, Hashable | None]] = []
+    # Read from the end, equal last tokens are always a match: the common ending needs no table.
+    while i and j and reference[i - 1] == hypothesis[j - 1]:
+        i, j = i - 1, j - 1
+        steps.append(("match", reference[i], hypothesis[j]))
+    a, b = _coded(reference[:i], hypothesis[:j])
+    table = _cost_rows(a, b)
     while i or j:
         here = table[i, j]
         if i and j and a[i - 1] == b[j - 1] and table[i - 1, j - 1] == here:

@@ -41,6 +41,26 @@ def test_alignment_is_optimal_and_complete():
         assert "".join(r for _, r, _ in steps if r) == a and "".join(h for _, _, h in steps if h) == b
 
 
+def test_preference_from_the_end():
+    """Against a plain table read from the end: match, substitution, deletion, insertion."""
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 8))) for _ in "xy")
+        cost = {(i, j): _distance(a[:i], b[:j]) for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        i, j, want = len(a), len(b), []
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+                step, i, j = "match", i - 1, j - 1
+            elif i and j and cost[i, j] == cost[i - 1, j - 1] + 1:
+                step, i, j = "substitution", i - 1, j - 1
+            elif i and cost[i, j] == cost[i - 1, j] + 1:
+                step, i = "deletion", i - 1
+            else:
+                step, j = "insertion", j - 1
+            want.append(step)
+        assert [op for op, _, _ in alignment(a, b)] == want[::-1]
+
+
 def test_scores(spark):
     pairs = spark.createDataFrame([("1", "a", ""), ("2", "abcdefghij", "abcdefghiX"), ("3", "", "xy"), ("4", None, None), ("5", "a b", "a  b")], "sample_id string, reference string, hypothesis string")
     scored = score(pairs)
