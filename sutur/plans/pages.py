@@ -28,21 +28,25 @@ from sutur.session import table
 _CLASSES = ("view", "click", "signup", "purchase")
 
 
+def _placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of pages, with the place in their page."""
+    rows = table(spark, sf_dir, "page_ground").select("record_id", "page_id", "dimensions", F.posexplode("lines").alias("pos", "l"))
+    return rows.select("record_id", "page_id", "dimensions", "pos", "l.*")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of pages whose both boxes are sound, with the place in their page."""
-    rows = table(spark, sf_dir, "page_ground").select("record_id", "page_id", "dimensions", F.posexplode("lines").alias("pos", "l"))
-    flat = rows.select("record_id", "page_id", "dimensions", "pos", "l.*")
-    return flat.where(is_box(F.col("composition_box")) & is_box(F.col("output_box")))
+    return _placed_lines(spark, sf_dir).where(is_box(F.col("composition_box")) & is_box(F.col("output_box")))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = lines(spark, sf_dir)
-    side = lambda b: found.select("record_id", F.col("pos").alias("index"), F.col(b).alias("box"), "region_kind", "column_index")
+def _sides(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Expected and detected lines; each side holds the lines whose own box is sound."""
+    side = lambda b: found.where(is_box(F.col(b))).select("record_id", F.col("pos").alias("index"), F.col(b).alias("box"), "region_kind", "column_index")
     return side("composition_box"), side("output_box")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected, detected = _sides(spark, sf_dir)
+    expected, detected = _sides(_placed_lines(spark, sf_dir))
     pages = table(spark, sf_dir, "page_ground")
     has_columns = F.exists("lines", lambda x: x["column_index"] == 0) & F.exists("lines", lambda x: x["column_index"] == 1)
     label = F.when(F.coalesce(F.size("lines"), F.lit(0)) <= 0, "blank").when(F.coalesce(has_columns, F.lit(False)), "two_column").otherwise("one_column")
@@ -57,12 +61,12 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = regions.overlapping_pairs(*_sides(spark, sf_dir), "record_id", 0.5)
+    pairs = regions.overlapping_pairs(*_sides(lines(spark, sf_dir)), "record_id", 0.5)
     return pairs.withColumn("iou", F.round("iou", 9))
 
 
 def q27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = regions.overlapping_pairs(*_sides(spark, sf_dir), "record_id", 0.1)
+    pairs = regions.overlapping_pairs(*_sides(lines(spark, sf_dir)), "record_id", 0.1)
     return regions.greedy_matches(pairs, "record_id").withColumn("iou", F.round("iou", 9))
 
 

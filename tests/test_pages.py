@@ -12,6 +12,7 @@ from sutur.config import PreprocessingConfig, SegmentationConfig
 from sutur.errors import AssemblyError
 from sutur.functions import geometry as g
 from sutur.operators import assembly, layout, recognition, regions
+from sutur.plans import pages as plans
 from sutur.sources import pixels
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
@@ -200,3 +201,28 @@ def test_scale_marks_and_gaps(spark):
 def test_page_with_specks_only(spark):
     df = spark.createDataFrame([("p", 0, 1000, 600, 1, 5, 5, 1, 1, 1)], "page_id string, page_index int, page_width int, page_height int, label int, x int, y int, width int, height int, area bigint")
     assert layout.segment_components(df).count() == 0
+
+
+_LINE = f"struct<line_id:string,text:string,text_sha256:string,composition_box:{BOX},output_box:{BOX},region_kind:string,column_index:int,reading_order_index:int>"
+
+
+def _page_ground(spark, folder, pages):
+    """Test table of pages (record_id, dimensions, [(composition_box, output_box)])."""
+    rows = [(i, f"page-{i}", d, False, [(None, None, None, a, b, "line", None, k) for k, (a, b) in enumerate(boxes)]) for i, d, boxes in pages]
+    kind = f"record_id bigint, page_id string, dimensions struct<width:int,height:int>, expected_blank boolean, lines array<{_LINE}>"
+    spark.createDataFrame(rows, kind).write.parquet(str(folder / "page_ground.parquet"))
+    return str(folder)
+
+
+def test_missed_and_extra_lines_count(spark, tmp_path):
+    a, b, c = (0, 0, 100, 20), (0, 50, 100, 20), (0, 100, 100, 20)
+    missed = [(a, a), (b, None), (c, (0, 100, 0, 20))]  # one without an output box, one with an empty one
+    extra = [(a, a), (None, b)]
+    folder = _page_ground(spark, tmp_path, [(1, (1000, 1500), missed), (2, (1000, 1500), extra), (3, (1000, 1500), [(a, a), (b, b)])])
+    queries = plans.queries()
+    rows = {r.record_id: (r.expected, r.detected, r.matched, r.exact_order, r.failures) for r in queries["q28b_page_results"](spark, folder).collect()}
+    wrong = "line_count,region_matching,reading_order"
+    assert rows == {1: (3, 1, 1, False, wrong), 2: (1, 2, 1, False, wrong), 3: (2, 2, 2, True, "")}
+    total = queries["q28_corpus_result"](spark, folder).head()
+    assert (total.expected, total.detected, total.matched, total.exact_count_pages) == (6, 5, 4, 1)
+    assert (total.precision, total.recall) == (pytest.approx(4 / 5), pytest.approx(4 / 6))
