@@ -114,9 +114,9 @@ def corpus_result(pages: DataFrame) -> DataFrame:
 def text_scale(components: DataFrame, key: str, page_area: Column, max_fraction: float = 0.05) -> DataFrame:
     """Area-weighted median height per page over (height, label); oversized components only count where all are.
 
-    components  key, label, box, area, and what ``page_area`` is made of
+    components  key, label, box, area, and what ``page_area`` is made of; where that is null, none is oversized
     """
-    sized = components.withColumn("_large", F.col("area") > page_area * max_fraction)
+    sized = components.withColumn("_large", F.coalesce(F.col("area") > page_area * max_fraction, F.lit(False)))
     page = Window.partitionBy(key)
     usable = sized.withColumn("_all_large", F.min(F.col("_large").cast("int")).over(page) == 1).where("_all_large or not _large")
     running = F.sum("area").over(page.orderBy(F.col("box.height"), "label").rowsBetween(Window.unboundedPreceding, 0))

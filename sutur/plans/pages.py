@@ -55,9 +55,10 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line boxes taken as components of their page."""
+    """Line boxes taken as components of their page, with the page's area; null where its size isn't known."""
     found = lines(spark, sf_dir)
-    return found.select("record_id", F.col("pos").alias("label"), F.col("output_box").alias("box"), area(F.col("output_box")).alias("area"))
+    size = F.when((F.col("dimensions.width") > 0) & (F.col("dimensions.height") > 0), F.col("dimensions.width").cast("bigint") * F.col("dimensions.height"))
+    return found.select("record_id", F.col("pos").alias("label"), F.col("output_box").alias("box"), area(F.col("output_box")).alias("area"), size.alias("page_area"))
 
 
 def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.text_scale(_components(spark, sf_dir), "record_id", F.lit(1_000_000))
+    return regions.text_scale(_components(spark, sf_dir), "record_id", F.col("page_area"))
 
 
 def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +95,7 @@ def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _components(spark, sf_dir)
-    scale = regions.text_scale(found, "record_id", F.lit(1_000_000))
+    scale = regions.text_scale(found, "record_id", F.col("page_area"))
     boxes = found.join(scale, "record_id").select(F.col("record_id").cast("string").alias("page_id"), F.col("label").alias("candidate"), "box.*", "text_scale")
     return layout.order_boxes(boxes)
 

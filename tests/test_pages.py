@@ -226,3 +226,16 @@ def test_missed_and_extra_lines_count(spark, tmp_path):
     total = queries["q28_corpus_result"](spark, folder).head()
     assert (total.expected, total.detected, total.matched, total.exact_count_pages) == (6, 5, 4, 1)
     assert (total.precision, total.recall) == (pytest.approx(4 / 5), pytest.approx(4 / 6))
+
+
+def test_text_scale_uses_the_page_size(spark, tmp_path):
+    small, large = (0, 0, 100, 20), (0, 100, 550, 100)  # 2,000 and 55,000 pixels
+    lower = (300, 20, 100, 20)
+    pages = [(1, (1000, 1000)), (2, (1000, 1200)), (3, None), (4, (0, 1000))]
+    folder = _page_ground(spark, tmp_path, [(i, d, [(b, b) for b in (small, lower, large)]) for i, d in pages])
+    queries = plans.queries()
+    scale = {r.record_id: r.text_scale for r in queries["q30_text_scale"](spark, folder).collect()}
+    assert scale == {1: 20.0, 2: 100.0, 3: 100.0, 4: 100.0}  # 5 % are 50,000 and 60,000 pixels; unknown sizes drop nothing
+    order = {(r.page_id, r.candidate): r.reading_order_index for r in queries["q33_reading_order"](spark, folder).collect()}
+    tops = lambda p: [order[p, k] for k in (0, 1)]
+    assert tops("1") == [0, 1] and tops("2") == [1, 0]  # the wider band of page 2 holds both, right before left
