@@ -174,6 +174,15 @@ class ResidueMatcher:
     def _is_dummy(self, word: str) -> bool:
         return word in self._dummy or word == "0" or bool(_CROSSES.match(word)) or (len(word) > 3 and bool(_KEYBOARD.match(word)))
 
+    def _mostly_dummy(self, words: list[str]) -> bool:
+        """Whether dummy words are at least three and reach their share; stops once too many others came."""
+        least, dummies = max(3, LEAST_DUMMY_COVERAGE * len(words)), len(words)
+        for word in words:
+            if dummies < least:
+                return False
+            dummies -= not self._is_dummy(word)
+        return dummies >= least
+
     def unit(self, words: list[str]) -> tuple[str, int]:
         """Kind of residue of a unit, empty if none, and its number of covered words."""
         joined = f" {' '.join(words)} "
@@ -222,7 +231,7 @@ class ResidueMatcher:
         flat = f" {' '.join(w for u in units for w in u)} "
         suspect = next(self._strong.iter(flat), None) is not None
         for words in units:
-            if not suspect and sum(map(self._is_dummy, words[:3])) < min(3, len(words)) and sum(map(self._is_dummy, words[-3:])) < min(3, len(words)):
+            if not suspect and not self._mostly_dummy(words):
                 continue
             kind, _ = self.unit(words)
             if kind:

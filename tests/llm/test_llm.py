@@ -254,3 +254,11 @@ def test_residue(spark):
     assert judge_documents(df).where(F.size("kinds") > 0).count() == len(RESIDUE)
     assert judge_documents(df.limit(0)).count() == 0
     assert matcher.judge("kettle " * 200_000)[0] == []
+
+
+def test_dummy_words_anywhere_in_a_unit():
+    judge = ResidueMatcher().judge
+    line = "test intro test test test test test test outro test"
+    assert judge(line)[0] == judge(f"{line}\nlorem ipsum dolor sit amet")[0] == ["filler"]
+    assert judge("test intro test test test test test closing outro test")[0] == []  # 7 of 10
+    assert judge("test test")[0] == []
