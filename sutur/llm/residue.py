@@ -88,20 +88,30 @@ HTML_ELEMENTS = """a abbr b blockquote body br code div em figure font footer fo
 link main meta nav noscript ol option p pre script section select small span strong style sub sup table tbody td th thead title tr u ul"""
 
 _NAME = r"[^\W_](?:[\w.\- ]{0,38}[^\W_])?"
+#: Between doubled delimiters: a name of any length, or anything up to the closing one on the line; neither goes past another opening one, so a scan stays linear.
+_LONG_NAME = r"[^\W_](?:(?:(?!__)[\w.\- ])*[^\W_])?"
+
+
+def _doubled(opening: str, closing: str) -> str:
+    inside = rf"(?!{opening}|{closing})"
+    return rf"{opening}(?:{inside}(?:_|[^\w\n]))*[^\W_](?:{inside}[^\n])*{closing}"
+
+
 _FIELD = re.compile(
     "|".join(
         (
             rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}",
+            _doubled(r"\{\{", r"\}\}"),
             rf"\{{ ?\{{ ?{_NAME} ?\}} ?\}}",
             rf"\$\{{\s*{_NAME}\s*\}}",
-            rf"\{{%\s*{_NAME}\s*%\}}",
-            rf"<%=?\s*{_NAME}\s*%>",
+            _doubled(r"\{%", r"%\}"),
+            _doubled("<%", "%>"),
             rf"%\({_NAME}\)s",
-            rf"\[\[\s*{_NAME}\s*\]\]",
-            rf"<<\s*{_NAME}\s*>>",
-            rf"##{_NAME}##",
-            rf"@@{_NAME}@@",
-            rf"__+{_NAME}__+",
+            _doubled(r"\[\[", r"\]\]"),
+            _doubled("<<", ">>"),
+            rf"##{_LONG_NAME}##",
+            rf"@@{_LONG_NAME}@@",
+            rf"__+{_LONG_NAME}__+",
             rf"«\s*{_NAME}\s*»",
             rf"\$[^\W\d_][\w.\-]{{1,38}}\$",
             rf"%[^\W\d_][\w.\-]{{1,38}}%",

@@ -262,3 +262,14 @@ def test_dummy_words_anywhere_in_a_unit():
     assert judge(line)[0] == judge(f"{line}\nlorem ipsum dolor sit amet")[0] == ["filler"]
     assert judge("test intro test test test test test closing outro test")[0] == []  # 7 of 10
     assert judge("test test")[0] == []
+
+
+def test_fields_with_any_content():
+    matcher = ResidueMatcher()
+    long = "a_name_of_more_than_forty_characters_in_all_45"
+    fields = ["{{ name|upper }}", "{{ user['first'] }}", "{% if page.title %}", "<%= page.title() %>", "[[ page|title ]]", "<< page: title >>"]
+    fields += [o + long + c for o, c in (("{{", "}}"), ("{%", "%}"), ("<%", "%>"), ("[[", "]]"), ("<<", ">>"), ("##", "##"), ("@@", "@@"))]
+    assert [f for f in fields if matcher.judge(f"It was written by {f} in that year.")[0] != ["template"]] == []
+    clean = ["{{ open\nclosed }}", "{{ }}", "The placeholder `{{ name|upper }}` is filled later."]
+    assert [t for t in clean if matcher.judge(t)[0]] == []
+    assert [matcher.fields(t) for t in ("{{ a " * 20_000, "__a " * 20_000, "{{" + " a" * 100_000, "##" + " a" * 100_000)] == [0, 0, 0, 0]
