@@ -35,6 +35,11 @@ def _complete(flat: pa.Table) -> pa.Array:
     return ok
 
 
+def _whole(flat: pa.Table) -> pa.Array:
+    """Boxes of whole numbers, whether or not they fit bigint."""
+    return pc.fill_null(flat["whole"], False)
+
+
 def _typed_children(df: DataFrame, tbl: str, column: str, child_id: str, box: str, text: str | None) -> DataFrame:
     base = ("[]",)
     outputs = {"child_id": (*base, child_id), "region_kind": (*base, "region_kind")}
@@ -66,12 +71,12 @@ def _typed_boxes(df: DataFrame, tbl: str, column: str, box: str) -> DataFrame:
 def _payload_children(df: DataFrame, full_only: bool) -> DataFrame:
     base = ("[]", "children", "[]")
     names = () if full_only else ("child_id", "text", "region_kind", "column_index", "reading_order_index")
-    columns = {"parent_pos": ("[]", "place")} | {n: (*base, n) for n in names} | {n: (*base, "box", n) for n in _BOX}
-    kinds = {"parent_pos": "int", "child_id": "string", "text": "string", "region_kind": "string"}
+    columns = {"parent_pos": ("[]", "place")} | {n: (*base, n) for n in names} | {n: (*base, "box", n) for n in (("whole",) if full_only else _BOX)}
+    kinds = {"parent_pos": "int", "whole": "boolean", "child_id": "string", "text": "string", "region_kind": "string"}
     fields = ["record_id bigint", "parent_row int", "child_pos int"] + [f"{n} {kinds.get(n, 'bigint')}" for n in columns]
     flat = shred_tables(
         df, ["record_id"], "payload", base, _parse_datatype_string(", ".join(fields)), columns, ["parent_row", "child_pos"],
-        prepare=parse_payloads, keep=_complete if full_only else None,
+        prepare=parse_payloads, keep=_whole if full_only else None,
     )
     return flat.withColumn("tbl", F.lit("raw_records"))
 

@@ -8,7 +8,7 @@ from typing import Any
 
 import pyarrow as pa
 
-BOX = pa.struct([(n, pa.int64()) for n in ("x", "y", "width", "height")])
+BOX = pa.struct([(n, pa.int64()) for n in ("x", "y", "width", "height")] + [("whole", pa.bool_())])
 CHILD = pa.struct(
     [
         ("child_id", pa.string()),
@@ -33,7 +33,7 @@ PARENT = pa.struct(
 )
 RECORD = pa.list_(PARENT)
 
-_DIGITS = re.compile(r"[0-9]{1,18}\Z")
+_DIGITS = re.compile(r"[0-9]+\Z")
 _INT64 = 1 << 63
 
 
@@ -44,29 +44,36 @@ def _refuse(_: str) -> None:
 def _loads(text: str) -> Any:
     """Strict JSON, or None: NaN and Infinity are no JSON."""
     try:
-        return json.loads(text, parse_constant=_refuse)
+        return json.loads(text, parse_constant=_refuse, parse_int=lambda n: int(n) if len(n) < 100 else _INT64)
     except (ValueError, RecursionError):
         return None
 
 
 def _open(value: Any) -> Any:
     """A string that holds JSON counts as that JSON, also when wrapped several times."""
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):
         value = _loads(value)
     return value
 
 
-def _whole(value: Any) -> int | None:
-    """A whole number from a JSON number or a string of ASCII digits; booleans are none."""
+def _number(value: Any) -> int | None:
+    """A whole number from a JSON number or a string of ASCII digits, of any size; booleans are none. What is too long is told by its size only."""
     if isinstance(value, bool):
         return None
     if isinstance(value, str):
-        return int(value) if _DIGITS.match(value) else None
+        if not _DIGITS.match(value):
+            return None
+        digits = value.lstrip("0") or "0"
+        return int(digits) if len(digits) < 100 else _INT64
     if isinstance(value, float):
         value = int(value) if value.is_integer() else None
-    return value if isinstance(value, int) and -_INT64 <= value < _INT64 else None
+    return value if isinstance(value, int) else None
+
+
+def _whole(value: Any) -> int | None:
+    """A whole number that fits bigint."""
+    value = _number(value)
+    return value if value is not None and -_INT64 <= value < _INT64 else None
 
 
 def _text(value: Any) -> str | None:
@@ -79,11 +86,12 @@ def _box(value: Any) -> dict[str, int | None] | None:
         value = dict(zip(("x", "y", "width", "height"), value)) if len(value) == 4 else None
     if not isinstance(value, dict):
         return None
-    return {n: _whole(value.get(n)) for n in ("x", "y", "width", "height")}
+    names = ("x", "y", "width", "height")
+    return {n: _whole(value.get(n)) for n in names} | {"whole": all(_number(value.get(n)) is not None for n in names)}
 
 
 def _full(box: dict[str, int | None] | None) -> bool:
-    return box is not None and None not in box.values()
+    return box is not None and bool(box["whole"])
 
 
 def _child(value: Any) -> dict[str, Any] | None:

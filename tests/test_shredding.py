@@ -84,3 +84,19 @@ def test_tables_and_empty_tables(spark):
     assert nested_parents(pages, cases, payloads).count() == 3
     none = spark.createDataFrame([], pages.schema)
     assert boxed_children(none, cases, payloads.limit(0)).count() == 0
+
+
+def test_whole_numbers_of_any_length(spark):
+    forms = ['"%s7"' % ("0" * 30), '"9000000000000000000"', '"%s"' % ("9" * 5000), "9" * 5000, "7.5", '"7x"', "true"]
+    payloads = spark.createDataFrame([(i, '{"lines":[{"output_box":[1,2,3,%s]}]}' % f) for i, f in enumerate(forms)], "record_id bigint, payload string")
+    wrapped = '{"lines":[{"output_box":[1,2,3,4]}]}'
+    for _ in range(10):
+        wrapped = json.dumps(wrapped)
+    payloads = payloads.union(spark.createDataFrame([(9, wrapped)], payloads.schema))
+    line = "struct<line_id:string,text:string,output_box:struct<x:int,y:int,width:int,height:int>,region_kind:string,column_index:int,reading_order_index:int>"
+    region = "struct<region_id:string,bounding_box:struct<x:int,y:int,width:int,height:int>,region_kind:string,column_index:int,reading_order_index:int>"
+    pages = spark.createDataFrame([], f"record_id bigint, lines array<{line}>")
+    cases = spark.createDataFrame([], f"record_id bigint, regions array<{region}>")
+    assert sorted(r.record_id for r in boxed_children(pages, cases, payloads).collect()) == [0, 1, 2, 3, 9]
+    heights = {r.record_id: r.height for r in nested_children(pages, cases, payloads).collect()}
+    assert heights == {0: 7, 1: 9 * 10**18, 2: None, 3: None, 4: None, 5: None, 6: None, 9: 4}
