@@ -27,9 +27,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with the hash of their image, from the newest artifact row of the path."""
+    return _digested(spark, sf_dir, samples(spark, sf_dir))
+
+
+def _digested(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     files = table(spark, sf_dir, "artifact_manifest").where("path is not null")
     hashes = files.groupBy(F.col("path").alias("image_path")).agg(F.max_by("sha256", F.struct("added_at", "sha256")).alias("digest"))
-    return samples(spark, sf_dir).join(hashes, "image_path", "left")
+    return rows.join(hashes, "image_path", "left")
 
 
 def hypothesis(text: Column) -> Column:
@@ -85,6 +89,15 @@ def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("sample_id", F.array_join(F.transform("indices", lambda i: i.cast("string")), " ").alias("indices"))
 
 
+def q14b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation report of all deliveries with the image rules; a file is looked up by the portable form of its path."""
+    manifest = table(spark, sf_dir, "manifest")
+    portable = manifest.select("record_id", portable_path(F.col("image_path")).alias("image_path"))
+    hashes = _digested(spark, sf_dir, portable).select("record_id", "digest")
+    rows = manifest.join(hashes, "record_id", "left")
+    return validation.with_messages(validation.text_issues(manifest).unionByName(validation.duplicate_issues(rows)))
+
+
 def q15(spark: SparkSession, sf_dir: str, include: bool) -> DataFrame:
     decisions = review.latest_decisions(table(spark, sf_dir, "review_decisions"))
     kept = review.merge_decisions(samples(spark, sf_dir), decisions, include)
@@ -191,6 +204,7 @@ def queries() -> dict:
         "q14_validation_report": lambda s, d: validation.with_messages(
             validation.text_issues(table(s, d, "manifest")).unionByName(validation.duplicate_issues(table(s, d, "manifest"), None))
         ),
+        "q14b_validation_report_with_images": q14b,
         "q15_review_overlay": lambda s, d: q15(s, d, False),
         "q15b_review_overlay_with_doubtful": lambda s, d: q15(s, d, True),
         "q16_unknown_decisions": q16,

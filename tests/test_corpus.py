@@ -179,3 +179,28 @@ def test_config():
         with pytest.raises(ConfigurationError):
             SegmentationConfig.from_mapping(bad)
     assert EvaluationError("m").code == "evaluation_error"
+
+
+def test_validation_report_has_image_issues(spark, sf_dir):
+    from collections import Counter
+
+    from sutur.plans import corpus
+
+    queries = corpus.queries()
+    count = lambda n: Counter(r.code for r in queries[n](spark, sf_dir).select("code").collect())
+    image = {"duplicate_image", "duplicate_pair", "conflicting_image_text"}
+    whole, text = count("q14b_validation_report_with_images"), count("q14_validation_report")
+    assert {c: n for c, n in whole.items() if c not in image} == text and not image & set(text)
+    from sutur.functions.paths import portable_path
+
+    files = {}
+    for r in spark.read.parquet(f"{sf_dir}/artifact_manifest.parquet").where("path is not null and added_at is not null and sha256 is not null").collect():
+        files[r.path] = max(files.get(r.path, (r.added_at, r.sha256)), (r.added_at, r.sha256))
+    manifest = spark.read.parquet(f"{sf_dir}/manifest.parquet").select(portable_path(F.col("image_path")).alias("p"), "text").collect()
+    digests = [(files[r.p][1], r.text) for r in manifest if r.p in files]
+    texts = {}
+    for d, t in digests:
+        texts.setdefault(d, set()).add(t)
+    assert whole["duplicate_image"] == len(digests) - len(texts) > 0
+    assert whole["duplicate_pair"] == len(digests) - len(set(digests))
+    assert whole["conflicting_image_text"] == sum(len(texts[d] - {None}) > 1 for d, _ in digests)
