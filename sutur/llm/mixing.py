@@ -27,6 +27,8 @@ RANK_BUCKETS = 4096
 SIZE_STEPS = 16
 EXACT_ROWS = 200_000
 _MOST_SOURCES = 10_000
+#: As ``wanted``: as many tokens as the listed sources have.
+ALL_TOKENS = "all"
 
 
 def canonical_source(source: Column) -> Column:
@@ -63,7 +65,7 @@ def _odds_scale(sizes: list[tuple[float, int, int]], rest: float) -> float:
     return high
 
 
-def mixture(documents: DataFrame, targets: DataFrame, wanted: int | None = None, seed: int = 20240229, path: str | None = None) -> tuple[DataFrame, list[dict]]:
+def mixture(documents: DataFrame, targets: DataFrame, wanted: int | str | None = None, seed: int = 20240229, path: str | None = None) -> tuple[DataFrame, list[dict]]:
     """The mixture as (doc_id, source, n_tokens, copies) with copies >= 1, and the plan per source.
 
     documents  doc_id, text, source;  targets  source, target_share, max_repeats (a small table)
@@ -92,7 +94,7 @@ def mixture(documents: DataFrame, targets: DataFrame, wanted: int | None = None,
     totals: dict[str, int] = {}
     for r in histogram:
         totals[r.source] = totals.get(r.source, 0) + r.tokens
-    quotas = plan_quotas(totals, goals, wanted)
+    quotas = plan_quotas(totals, goals, sum(totals.values()) if wanted == ALL_TOKENS else wanted)
     plan = []
     for source, (share, repeats) in goals.items():
         have, quota = totals.get(source, 0), quotas[source]
@@ -151,7 +153,7 @@ def mixture(documents: DataFrame, targets: DataFrame, wanted: int | None = None,
     return others.select(*columns).unionByName(last.select(*columns)).where("copies > 0"), plan
 
 
-def mixture_shares(documents: DataFrame, targets: DataFrame, wanted: int | None = None, path: str | None = None) -> DataFrame:
+def mixture_shares(documents: DataFrame, targets: DataFrame, wanted: int | str | None = None, path: str | None = None) -> DataFrame:
     """Per listed source: target share, tokens there and taken, share reached, most copies, and whether it is met.
 
     A target counts as met if the tokens taken are within one largest document of the quota and the

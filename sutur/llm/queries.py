@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sutur.llm.mixing import mixture, mixture_shares
+from sutur.llm.mixing import ALL_TOKENS, mixture, mixture_shares
 from sutur.llm.overlap import cross_split_pairs, cross_split_report
 from sutur.llm.residue import judge_documents
 from sutur.llm.splits import assign_splits, broken_groups, current_partitions, related_groups, requested_ratios, split_report
@@ -50,6 +50,8 @@ def queries() -> dict:
         "p6_sizes": lambda s, d: encode_corpus(table(s, d, "documents"), only_counts=True),
         "p7_mixture": lambda s, d: mixture(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
         "p7_shares": lambda s, d: mixture_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p7_mixture_of_all": lambda s, d: mixture(table(s, d, "documents"), table(s, d, "mix_targets"), ALL_TOKENS)[0],
+        "p7_shares_of_all": lambda s, d: mixture_shares(table(s, d, "documents"), table(s, d, "mix_targets"), ALL_TOKENS),
         "p8_found": lambda s, d: _judged(s, d).where(F.size("kinds") > 0).select("doc_id"),
         "p8_kinds": lambda s, d: _judged(s, d).where(F.size("kinds") > 0),
         "p8_clean": lambda s, d: _judged(s, d).where(F.size("kinds") == 0).select("doc_id"),

@@ -273,3 +273,17 @@ def test_fields_with_any_content():
     clean = ["{{ open\nclosed }}", "{{ }}", "The placeholder `{{ name|upper }}` is filled later."]
     assert [t for t in clean if matcher.judge(t)[0]] == []
     assert [matcher.fields(t) for t in ("{{ a " * 20_000, "__a " * 20_000, "{{" + " a" * 100_000, "##" + " a" * 100_000)] == [0, 0, 0, 0]
+
+
+def test_mixture_of_all_tokens_names_shortfalls(spark, tmp_path):
+    from sutur.llm import queries
+
+    text = "the river was wide and slow that year "
+    documents = [(i, text * 5, "large") for i in range(200)] + [(200, text, "small")]
+    spark.createDataFrame(documents, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    targets = spark.createDataFrame([("large", 0.9, 4), ("small", 0.1, 4)], "source string, target_share double, max_repeats int")
+    targets.write.parquet(str(tmp_path / "mix_targets.parquet"))
+    shares = {r.source: r for r in queries.queries()["p7_shares_of_all"](spark, str(tmp_path)).collect()}
+    whole = shares["large"].available + shares["small"].available
+    assert shares["small"].most_copies == 4 and shares["small"].tokens == 4 * shares["small"].available and not shares["small"].met
+    assert 0.85 * whole < shares["large"].tokens <= 0.9 * whole
