@@ -21,8 +21,20 @@ def canonical_json(value: Any, newline: bool = True) -> bytes:
     return (text + "\n" * newline).encode("utf-8")
 
 
-def canonical_fingerprint(value: Any) -> str:
-    return hashlib.sha256(canonical_json(value)).hexdigest()
+def canonical_fingerprint(value: Any, newline: bool = True) -> str:
+    return hashlib.sha256(canonical_json(value, newline)).hexdigest()
+
+
+def _canonical_escapes(line: Column) -> Column:
+    """Escapes of control characters with small hexadecimal letters, as canonical JSON writes them.
+
+    Spark writes them with capital ones. Only U+000B, U+000E, U+000F and U+001A to U+001F have letters
+    and no short form; an escape is told from an escaped backslash by the even number of backslashes before it.
+    """
+    plain = line
+    for digits in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        line = F.regexp_replace(line, rf"(?<!\\)((?:\\\\)*)\\u00{digits}", rf"$1\\u00{digits.lower()}")
+    return F.when(plain.contains("\\u00"), line).otherwise(plain)
 
 
 def sample_line(columns: dict[str, Column] | None = None) -> Column:
@@ -30,14 +42,14 @@ def sample_line(columns: dict[str, Column] | None = None) -> Column:
     value = lambda n: (columns or {}).get(n, F.col(n))
     tags = F.array_sort(F.array_distinct(value("tags")))
     fields = [F.when(F.size(tags) > 0, tags).alias(n) if n == "tags" else value(n).alias(n) for n in SAMPLE_FIELDS]
-    return F.to_json(F.struct(*fields))
+    return _canonical_escapes(F.to_json(F.struct(*fields)))
 
 
 def decision_line() -> Column:
     """One canonical JSON line of a review decision; tags are always written."""
     tags = F.coalesce(F.array_sort(F.array_distinct("tags")), F.array().cast("array<string>"))
     fields = [tags.alias(n) if n == "tags" else F.col(n).alias(n) for n in DECISION_FIELDS]
-    return F.to_json(F.struct(*fields))
+    return _canonical_escapes(F.to_json(F.struct(*fields)))
 
 
 def ordered_fingerprint(lines: Iterable[str], ending: str = "\n") -> str:

@@ -26,3 +26,10 @@ def portable_path(path: Column) -> Column:
         | (F.size(parts) == 0)
     )
     return F.when(~rejected, F.array_join(parts, "/"))
+
+
+def path_below(path: Column, root: str) -> Column:
+    """A file's path below a folder, whatever scheme both are written with; a path outside it stays whole."""
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    base = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
+    return F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)

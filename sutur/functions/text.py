@@ -95,6 +95,13 @@ def alike(value: Column) -> Column:
     return F.translate(F.lower(strip_blanks(value)), URDU_DIGITS, ASCII_DIGITS)
 
 
+def padded_number(number: Column, width: int) -> Column:
+    """A number with zeros in front up to ``width`` digits; longer numbers stay whole, a sign stays in front."""
+    digits = F.regexp_replace(number.cast("string"), "^-", "")
+    padded = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+    return F.concat(F.when(number < 0, "-").otherwise(""), padded)
+
+
 def urdu_number(number: Column, width: int) -> Column:
-    """Zero-padded number in Urdu digits."""
-    return F.translate(F.lpad(number.cast("string"), width, "0"), ASCII_DIGITS, URDU_DIGITS)
+    """Zero-padded number in Urdu digits, never cut."""
+    return F.translate(padded_number(number, width), ASCII_DIGITS, URDU_DIGITS)

@@ -433,20 +433,20 @@ def oracle_sql() -> dict:
         "q48_line_widths": """select record_id, line_id, w, h, scaled, case when scaled between 4 and 2048 then (scaled // 2) // 2 end as frames from (
             select record_id, line_id, w, h, ((2 * w::bigint * 64 + h) // (2 * h::bigint))::int as scaled from (
               select record_id, l.line_id, l.output_box.width as w, l.output_box.height as h from (select record_id, unnest(lines) as l from page_ground)) where w > 0 and h > 0)""",
-        "q49_urdu_numbers": """select record_id, translate(lpad(line_index::varchar, 4, '0'), '0123456789', '۰۱۲۳۴۵۶۷۸۹') as number from manifest where line_index is not null""",
+        "q49_urdu_numbers": """select record_id, translate(lpad(line_index::varchar, greatest(4, length(line_index::varchar))::int, '0'), '0123456789', '۰۱۲۳۴۵۶۷۸۹') as number from manifest where line_index is not null""",
         "q51_text_overlap": _with(
             _SPLIT + """, t as (select distinct a."partition" as p, s.text from samples s join assigned a using (document_id))""",
             "select l.p as a, r.p as b, count(*) as texts from t l join t r on l.text = r.text and l.p < r.p group by all",
             True,
         ),
-        "q53_synthetic_lines": """select 'synthetic-' || lpad(n::varchar, 6, '0') as sample_id, """
+        "q53_synthetic_lines": """select 'synthetic-' || lpad(n::varchar, greatest(6, length(n::varchar))::int, '0') as sample_id, """
         + "list_extract([" + ", ".join(f"'{t}'" for t in _LINES) + f"], ((n - 1) % {len(_LINES)} + 1)::int) as text, "
-        + """'document-' || lpad((((n - 1) // 4) + 1)::varchar, 4, '0') as document_id, ((n - 1) % 4)::int as line_index,
-             ('0x' || substr(sha256('1337' || chr(0) || 'synthetic-' || lpad(n::varchar, 6, '0')), 1, 16))::ubigint::varchar as seed
+        + """'document-' || lpad((((n - 1) // 4) + 1)::varchar, greatest(4, length((((n - 1) // 4) + 1)::varchar))::int, '0') as document_id, ((n - 1) % 4)::int as line_index,
+             ('0x' || substr(sha256('1337' || chr(0) || 'synthetic-' || lpad(n::varchar, greatest(6, length(n::varchar))::int, '0')), 1, 16))::ubigint::varchar as seed
              from (select unnest(range(1, (select count(*) * 40 + 1 from nation))) as n)""",
         "q54_composed_texts": "select d as document, t::int as template, d * 3 + t + 1 as number, replace(list_extract(["
         + ", ".join(f"'{t}'" for t in _TEMPLATES)
-        + "], (t + 1)::int), '{number}', translate(lpad((d * 3 + t + 1)::varchar, 4, '0'), '0123456789', '۰۱۲۳۴۵۶۷۸۹')) as text "
+        + "], (t + 1)::int), '{number}', translate(lpad((d * 3 + t + 1)::varchar, greatest(4, length((d * 3 + t + 1)::varchar))::int, '0'), '0123456789', '۰۱۲۳۴۵۶۷۸۹')) as text "
         + "from (select unnest(range(0, (select count(*) from nation))) as d), (select unnest(range(0, 3)) as t)",
         "q56_weighted_loss": "select user_id, round(avg(value), 6) as loss from events group by 1",
     }

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from sutur.errors import BenchmarkError
 from sutur.functions.numbers import MAX_BYTES, file_kind
+from sutur.functions.paths import path_below
 from sutur.guards import require_empty
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path relative to root, size_bytes, content) of all files below a folder."""
-    base = "/" + root.split("://")[-1].strip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    relative = F.split_part(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), F.lit(base), F.lit(2))
-    return files.select(relative.alias("path"), F.col("length").alias("size_bytes"), "content")
+    return files.select(path_below(F.col("path"), root).alias("path"), F.col("length").alias("size_bytes"), "content")
 
 
 def artifact_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sutur.errors import ConfigurationError
+from sutur.functions.paths import path_below
 from sutur.session import plain_strings
 from sutur.functions.numbers import DEFAULT_DPI, MAX_BYTES, MAX_DOCUMENT_PIXELS, MAX_DPI, MAX_PAGE_PIXELS, MAX_PAGES, MIN_DPI, file_kind
 
@@ -37,7 +38,7 @@ def checked_dpi(dpi: int | None) -> int:
 def scan_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(document, byte_size, input_sha256, kind, issue, content). Kind comes from the content, never from the name.
 
-    The length is checked first; content of files beyond the limit is not looked at. Spark's file
+    A document is named by its path below the folder. The length is checked first; content of files beyond the limit is not looked at. Spark's file
     source skips files of length 0, so they have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -46,7 +47,7 @@ def scan_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -
     kind = file_kind(content)
     issue = F.when(large, "file_too_large").when(kind.isNull(), "unsupported_format")
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("document"), F.col("length").alias("byte_size"), F.sha2(content, 256).alias("input_sha256"),
+        path_below(F.col("path"), path).alias("document"), F.col("length").alias("byte_size"), F.sha2(content, 256).alias("input_sha256"),
         kind.alias("kind"), issue.alias("issue"), F.when(issue.isNull(), content).alias("content"),
     )
 

@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sutur.functions.numbers import derived_seed
-from sutur.functions.text import urdu_number
+from sutur.functions.text import padded_number, urdu_number
 
 #: Lines per synthetic document.
 LINES_PER_DOCUMENT = 4
 
 
 def synthetic_lines(spark: SparkSession, count: int, texts: Sequence[str], seed: int = 1337) -> DataFrame:
-    """``count`` samples whose texts repeat the corpus in turn; every four lines share a document."""
+    """``count`` samples whose texts repeat the corpus in turn; every four lines share a document.
+
+    Numbers are padded to six and four digits and never cut, so ids stay distinct at any count.
+    """
     corpus = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string")
     n = F.col("id")
-    number = F.lpad((n).cast("string"), 6, "0")
+    number = padded_number(n, 6)
     sample_id = F.concat(F.lit("synthetic-"), number)
     rows = spark.range(1, count + 1).withColumn("k", F.pmod(n - 1, F.lit(max(1, len(texts)))))
     document = F.floor((n - 1) / LINES_PER_DOCUMENT) + 1
     return rows.join(F.broadcast(corpus), "k").select(
         F.lit(1).alias("schema_version"), sample_id.alias("sample_id"), F.concat(F.lit("images/"), sample_id, F.lit(".png")).alias("image_path"),
-        "text", F.concat(F.lit("document-"), F.lpad(document.cast("string"), 4, "0")).alias("document_id"), F.lit(None).cast("string").alias("page_id"),
+        "text", F.concat(F.lit("document-"), padded_number(document, 4)).alias("document_id"), F.lit(None).cast("string").alias("page_id"),
         F.pmod(n - 1, F.lit(LINES_PER_DOCUMENT)).cast("int").alias("line_index"), F.array(F.lit("synthetic")).alias("tags"),
         derived_seed(F.lit(seed), sample_id).alias("seed"),
     )
