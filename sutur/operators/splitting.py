@@ -84,7 +84,7 @@ def assign_documents(samples: DataFrame, config: SplitConfig = SplitConfig()) ->
     schema = "range int, neg bigint, digest string, document_id string, samples bigint"
     ranged = materialize(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_ranged, schema), "documents")
     histogram = ranged.groupBy("range", "samples").agg(F.count(F.lit(1)).alias("n")).orderBy("range", F.desc("samples"))
-    steps = [(r.range, r.samples, r.n) for r in histogram.toLocalIterator()]
+    steps = [(r.range, r.samples, r.n) for r in histogram.collect()]  # numbers only: sizes of documents per range
     total = sum(size * n for _, size, n in steps)
     state, starts = GreedyState(total, config.ratios), {}
     for number, size, n in steps:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sutur.functions.text import characters, code_point_label, is_blank, issue_codes, nfc, words
+from sutur.session import materialize
 
 # Thresholds that make a sample worth a look, and messages of the issue codes.
 UNUSUAL_TEXT_LENGTH = 512
@@ -40,6 +41,7 @@ ERRORS = (
 IMAGE_ERRORS = (
     "invalid_path", "missing_image", "not_regular_file", "unreadable_image", "unsupported_image_format", "image_too_large", "invalid_dimensions",
 )
+_BY_IMAGE = ("duplicate_image", "duplicate_pair")
 _IDENTITY = ("sample_id", "image_path", "document_id", "text")
 
 
@@ -65,25 +67,36 @@ def unsupported_characters(samples: DataFrame, vocabulary: DataFrame) -> DataFra
     return outside.groupBy("sample_id", "text").agg(message.alias("message")).select(F.lit("unsupported_character").alias("code"), "sample_id", "message")
 
 
-def _later(samples: DataFrame, keys: list[str], code: str) -> DataFrame:
-    """Rows after the first of every key, in identity order. A hot key is ranked by a spilling sort."""
-    order = Window.partitionBy(*keys).orderBy(*_IDENTITY)
-    ranked = samples.withColumn("_rank", F.row_number().over(order))
-    return ranked.where("_rank > 1").select(F.lit(code).alias("code"), "sample_id")
-
-
 def duplicate_issues(samples: DataFrame, digest: str | None = "digest") -> DataFrame:
     """(code, sample_id) of repeated ids, paths, images and pairs, and of images with conflicting texts.
 
-    Only rows with a digest take part in the image rules. Conflicts flag every row of the digest.
+    Of every key, all rows but the first in identity order are duplicates; rows that agree in all of
+    the identity count each. Only rows with a digest take part in the image rules. Conflicts flag
+    every row of the digest. The rows are written out once; a key that holds many of them is only
+    ever counted, as all its rows less its smallest identity, never ranked.
     """
-    found = _later(samples, ["sample_id"], "duplicate_sample_id").unionByName(_later(samples, ["image_path"], "duplicate_image_path"))
+    hashed = F.col(digest) if digest is not None else F.lit(None).cast("string")
+    rows = materialize(samples.select(*_IDENTITY, hashed.alias("digest")), "identities")
+    keys = [("duplicate_sample_id", F.col("sample_id"), None), ("duplicate_image_path", F.col("image_path"), None)]
+    if digest is not None:
+        keys += [("duplicate_image", F.col("digest"), None), ("duplicate_pair", F.col("digest"), F.col("text"))]
+    none = F.lit(None).cast("string")
+    taking_part = F.filter(
+        F.array(*[
+            F.struct(F.lit(code).alias("code"), one.alias("one"), (none if two is None else two).alias("two"), (F.lit(code not in _BY_IMAGE) | F.col("digest").isNotNull()).alias("counts"))
+            for code, one, two in keys
+        ]),
+        lambda k: k["counts"],
+    )
+    keyed = rows.select(F.explode(taking_part).alias("k"), F.struct(*_IDENTITY).alias("identity"))
+    firsts = keyed.groupBy("k").agg(F.min("identity").alias("identity"))
+    counted = keyed.select("k.code", "identity.sample_id", F.lit(1).alias("n")).unionByName(firsts.select("k.code", "identity.sample_id", F.lit(-1).alias("n")))
+    later = counted.groupBy("code", "sample_id").agg(F.sum("n").cast("int").alias("n")).where("n > 0")
+    found = later.select("code", "sample_id", F.explode(F.array_repeat(F.lit(True), F.col("n")))).select("code", "sample_id")
     if digest is None:
         return found
-    readable = samples.where(F.col(digest).isNotNull())
-    found = found.unionByName(_later(readable, [digest], "duplicate_image")).unionByName(_later(readable, [digest, "text"], "duplicate_pair"))
-    several = readable.groupBy(digest).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(digest)
-    conflicts = readable.join(several, digest, "left_semi").select(F.lit("conflicting_image_text").alias("code"), "sample_id")
+    several = rows.where("digest is not null").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("digest")
+    conflicts = rows.join(several, "digest", "left_semi").select(F.lit("conflicting_image_text").alias("code"), "sample_id")
     return found.unionByName(conflicts)
 
 

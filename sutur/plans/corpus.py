@@ -11,7 +11,7 @@ from sutur.functions.paths import portable_path
 from sutur.functions.text import ascii_space_tokens, code_point_label, has_forbidden_control, issue_codes, nfc, normalize_transcription, urdu_number
 from sutur.operators import evaluation, review, splitting, validation, vocabulary
 from sutur.operators.samples import corpus_samples, first_deliveries
-from sutur.session import table
+from sutur.session import materialize, table
 from sutur.sources.artifacts import manifest_differences
 from sutur.sources.synthetic import composed_texts, directional_runs, synthetic_lines
 
@@ -51,8 +51,14 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.assign_documents(samples(spark, sf_dir))
 
 
+def _partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with the partition of their document, written out once."""
+    found = materialize(samples(spark, sf_dir), "samples")
+    return materialize(found.join(splitting.assign_documents(found).select("document_id", "partition"), "document_id"), "partitioned")
+
+
 def _vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary of the samples of the largest source beside all others' characters."""
+    """Vocabulary of all samples."""
     return vocabulary.build_vocabulary(samples(spark, sf_dir))
 
 
@@ -61,7 +67,7 @@ def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = digested_samples(spark, sf_dir)
+    found = materialize(digested_samples(spark, sf_dir), "digested")
     split = found.join(splitting.assign_documents(found).select("document_id", "partition"), "document_id")
     return splitting.leakage(split, "digest")
 
@@ -77,13 +83,13 @@ def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = samples(spark, sf_dir).join(_split(spark, sf_dir).select("document_id", "partition"), "document_id")
+    found = _partitioned(spark, sf_dir)
     train = vocabulary.build_vocabulary(found.where("partition = 'train'"))
     return vocabulary.unseen_characters(found.where("partition <> 'train'"), train)
 
 
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = samples(spark, sf_dir)
+    found = materialize(samples(spark, sf_dir), "samples")
     characters = vocabulary.vocabulary_list(vocabulary.build_vocabulary(found))
     encoded = vocabulary.encode_texts(found, characters, strict=False)
     return encoded.select("sample_id", F.array_join(F.transform("indices", lambda i: i.cast("string")), " ").alias("indices"))
@@ -171,8 +177,7 @@ def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = samples(spark, sf_dir).join(_split(spark, sf_dir).select("document_id", "partition"), "document_id")
-    return splitting.text_overlap(found)
+    return splitting.text_overlap(_partitioned(spark, sf_dir))
 
 
 def q53(spark: SparkSession, sf_dir: str) -> DataFrame:

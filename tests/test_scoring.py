@@ -112,3 +112,21 @@ def test_numbers(spark):
     assert (row.w, row.t, row.n, row.p) == (2, 2, None, 1700)
     assert row.s == str(int.from_bytes(hashlib.sha256("7\0é".encode()).digest()[:8], "big"))
     assert (row.c, row.d, row.u, row.pdf, row.jpg, row.none) == ("U+1F600", "U+0020", "۰۰۴۲", "pdf", "jpeg", None)
+
+
+def test_many_pairs_at_once_and_long_texts():
+    import random
+
+    from sutur.functions import edits
+
+    rng = random.Random(6)
+    draw = lambda alphabet, most: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, most)))
+    pairs = [(draw("abک", 25), draw("abک", 25)) for _ in range(300)] + [("", ""), ("a", ""), ("", "a"), ("ab", "ab")]
+    pairs += [(a.split("a"), b.split("a")) for a, b in pairs[:60]]
+    for (a, b), counts, steps in zip(pairs, edits.count_edits(pairs).tolist(), edits.alignments(pairs)):
+        ops = [op for op, _, _ in steps]
+        assert counts == [ops.count("substitution"), ops.count("deletion"), ops.count("insertion"), len(a)]
+        assert [r for op, r, _ in steps if op != "insertion"] == list(a) and [h for op, _, h in steps if op != "deletion"] == list(b)
+    a, b = draw("abcdefgh", 3) + "x" * 2 + "".join(rng.choice("abcdefgh") for _ in range(1500)), "".join(rng.choice("abcdefgh") for _ in range(1400))
+    ops = [op for op, _, _ in edits.alignment(a, b)]  # longer than what is kept in one piece
+    assert edits.edit_counts(a, b) == (ops.count("substitution"), ops.count("deletion"), ops.count("insertion"), len(a))
