@@ -52,7 +52,7 @@ def queries() -> dict:
         "p7_shares": lambda s, d: mixture_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_mixture_of_all": lambda s, d: mixture(table(s, d, "documents"), table(s, d, "mix_targets"), ALL_TOKENS)[0],
         "p7_shares_of_all": lambda s, d: mixture_shares(table(s, d, "documents"), table(s, d, "mix_targets"), ALL_TOKENS),
-        "p8_found": lambda s, d: _judged(s, d).where(F.size("kinds") > 0).select("doc_id"),
+        "p8_found": lambda s, d: _judged(s, d).where("excluded").select("doc_id"),
         "p8_kinds": lambda s, d: _judged(s, d).where(F.size("kinds") > 0),
-        "p8_clean": lambda s, d: _judged(s, d).where(F.size("kinds") == 0).select("doc_id"),
+        "p8_clean": lambda s, d: _judged(s, d).where("not excluded").select("doc_id"),
     }

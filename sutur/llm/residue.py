@@ -1,11 +1,12 @@
 """Template residue, filler, error pages and script notices in texts.
 
-A multi-pattern automaton holds phrases of error pages, fillers and script-required notices in
-several languages. A text is cut into units (lines and their sentences); a unit is residue if the
-matched phrases cover most of its words, so a sentence that only mentions such a phrase is not. A
-document is excluded if one of its units is residue, that is, stands in place of content.
-Unfilled template fields are found by their delimiters; a field that is quoted or named as one
-(in a manual, say) doesn't count.
+Two multi-pattern automata: one holds the phrases of error pages, fillers and script-required
+notices in several languages, the other the delimiters of template fields. A text is cut into units
+(lines and their sentences). The matches in a unit cover some of its words; a unit that they cover
+nearly all of stands in place of content, a sentence that only mentions such a phrase doesn't. Unfilled fields are
+found between their delimiters; one that is quoted or named as a field (in a manual, say) doesn't count.
+The words of such units and fields over all words of the document are its coverage, and a document
+is excluded from a least coverage on.
 """
 
 from __future__ import annotations
@@ -20,181 +21,150 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A unit is residue from this share of covered words on; fillers made of plain words need more and at least three words.
-LEAST_COVERAGE = 0.6
-LEAST_DUMMY_COVERAGE = 0.8
+from sutur.llm import residue_phrases as data
 
-# Phrases, lower case, digits as 0, apostrophes dropped. Strong ones make a unit residue, glue ones only cover.
-ERROR_PHRASES = """
-access denied|permission denied|not authorised|not authorized|0 forbidden|status 0|http error 0|http 0|http 0 0 0|error 0|0 gone|0 not found
-detail gone|detail forbidden|detail not found|page not found|0 unauthorized|service unavailable|bad gateway|gateway timeout|gateway time out
-internal server error|too many requests|request timeout|bad request|content type text html|an unexpected error occurred|an unexpected fault happened
-an unexpected error happened|an unexpected fault occurred|an unknown fault happened|an unknown fault occurred|an unknown error occurred
-an unknown error happened|something went wrong|could not be found|cannot be found|isnt available right now|is not available right now
-no longer exists|failed to load|has been removed|please try again later|try again later|go back to the start page|contact the desk
-contact the administrator|site cant be reached|down for maintenance|temporarily unable to handle your request|overloaded|invalid answer
-took too long to respond|remote end hung up|connection refused|connection timed out|connection reset|upstream connect error
-recognition failed|model returned nothing|no output for this page|worker 0 exited|traceback most recent call last|py line 0 in|php on line 0
-keyerror|oserror|valueerror|runtimeerror|typeerror|indexerror|broken pipe|page has no pixels|checkpoint could not be opened|fatal error
-uncaught exception|allowed memory size exhausted|call to undefined function|undefined index|account has no right to|you may not view
-you do not have permission|session has expired|session expired|log in again|stack trace
-خرابی 0|غلطی 0|نقص 0|خرابی نمبر 0|غلطی نمبر 0|نقص نمبر 0|صفحہ موجود نہیں|صفحہ نہیں ملا|اندرونی خرابی|درخواست رد ہوئی|سرور جواب نہیں دے رہا
-میں خرابی پیش آئی|مصروف ہے|عارضی طور پر بند ہے|سے رابطہ منقطع ہو گیا|لوڈ نہ ہو سکی|لوڈ نہ ہو سکا|ہٹا دی گئی ہے|ہٹا دیا گیا ہے|نہیں مل سکی|نہیں مل سکا
-دستیاب نہیں ہے|دستیاب نہیں|مکمل نہ ہوئی|مکمل نہ ہو سکی|واپس جائیں|منتظم سے رابطہ کیجیے|منتظم سے رابطہ کریں|کچھ دیر بعد کوشش کریں|دوبارہ کوشش کریں
-دوبارہ لاگ ان کریں|دیکھنے کی اجازت نہیں|دیکھنے کی اجازت حاصل نہیں
-الصفحة غير موجودة|خطأ 0|حدث خطأ غير متوقع|الخدمة غير متاحة|تم رفض الوصول|یافت نشد|خطای 0|دسترسی غیر مجاز|خطای غیر منتظره رخ داد
-"""
-SCRIPT_PHRASES = """
-javascript|java script|scripting|scripts|noscript|script enabled|script enabled browser|checking your browser|verifying your browser
-enable js|activate js|turn on js|switch on js|allow js|requires js|needs js|without js
-جاوا اسکرپٹ|جاوااسکرپٹ|اسکرپٹ|جافا سكريبت|جافاسكريبت|جاوا اسکریپت|جاوااسکریپت
-"""
-FILLER_PHRASES = """
-will appear here|goes here|coming soon|content to follow|text to follow|transcription to follow|description to follow|to be added|to be written
-to be replaced|to be confirmed|to be determined|tbd|t b d|tbc|tba|todo|placeholder|for layout only|do not publish|temporary text|dummy text|filler text
-type your|write this part|quick sample sentence repeats|sample copy|sample text|stand in wording|this text is only a sample
-آئے گا|یہاں متن|یہاں عبارت|یہاں تفصیل|یہاں مضمون|درج ہوگا|شامل ہوگا|شامل ہوگی|بعد میں لکھا جائے گا|کچھ نہیں لکھا گیا|ابھی باقی ہے|جلد آ رہا ہے
-عارضی تحریر|عارضی متن|عارضی عبارت|نمائشی عبارت|نمائشی متن|نمائشی تحریر|فرضی تحریر|فرضی عبارت|فرضی متن|صرف جگہ بھرنے کے لیے|نمونے کے طور پر|نمونے کی عبارت
-سيظهر النص هنا|نص تجريبي|متن آزمایشی|به زودی
-"""
-GLUE_PHRASES = """
-while loading this page|in the viewer|whoops|the requested image|the requested page|to continue|sample|dummy|temporary|stand in|real|reference 0|code 0|ref 0|oops|sorry|were sorry|we are sorry|that address|this folio|the scan|this page|the page
-this site|our servers are|the service is|the server|the gateway received an|before headers were read|port 0|image store|http|status|detail|request r0
-request|warning|folio in|file|line 0|in main|in load|in recognise|this scan|this shelf|your|please|kindly|you must|must be|to view this folio
-to view this page|before using the reader|before you continue|before|reload after enabling it|then refresh|and reload|reload|refresh|cookies and
-cookies|enabled|allowed|enable|activate|allow|turn on|switch on|active|client side|is disabled|is switched off|appears to be blocked|is required
-in this browser|in your browser|your browser does not support the|your browser has disabled the|your browser is blocking the|your browser
-that draw this page|needed by the page viewer|to load the page|to load the transcription|to load|this application|this viewer|this reader
-needs|requires|depends on|cannot start without|wont work without|works only with|a|in|the|browser|text|content|description|transcription|copy
-wording|summary|remark|notes|here|in this box|this box|box|paragraph|end|an unexpected|it
-افسوس|معذرت|معاف کیجیے|مطلوبہ صفحہ|مطلوبہ|یہ ورق|یہ تصویر|یہ صفحہ|یہ دستاویز|آپ کی درخواست|حوالہ 0|مہلت ختم|وقت ختم|آپ کو|سرور|نظام|ویب گاہ
-آپ کے براؤزر میں|براؤزر|بند ہے|روک دی گئی ہے|فعال نہیں|فعال نہیں ہے|کھول کر دوبارہ لوڈ کریں|کے بغیر نہیں کھل سکتا|کے بغیر کام نہیں کرتا
-اجازت دیجیے|کی اجازت دیں|فعال کریں|آن کیجیے|آن کریں|چلنے دیں|آگے بڑھنے کے لیے|متن پڑھنے کے لیے|دیکھنے کے لیے|براہ کرم|مہربانی کر کے|یہ ناظر
-یہ ویب گاہ|عارضی طور پر|کوکیز|اور|صفحہ|یہ|ہے|ابھی|فی الحال|بعد میں|اصل متن|اصل عبارت|کی جگہ|اس جگہ|یہاں|متن|عبارت|تفصیل|مضمون|پیراگراف|جملہ|ذیل کا|رکھا گیا ہے|لکھا گیا ہے
-"""
-# Words of the usual pseudo-Latin filler, and plain words that make filler when a unit holds nothing else.
-LOREM_WORDS = """lorem ipsum dolor dolore sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua enim
-minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit
-esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim"""
-DUMMY_WORDS = """blah bla yada foo baz test tests testing check abc xyz text words word line one two three etc
-آزمائش جانچ ٹیسٹ متن سطر لفظ شسدف جکل ییی ا ب پ ت ٹ ث ج"""
+#: A document is excluded from this share of words in residue on: one residue line in an ordinary text of a few pages does, one word in a book doesn't.
+LEAST_DOCUMENT_COVERAGE = 0.002
+#: A unit is residue from this share of covered words on; errors that happen to other things too need more, fillers made of plain words at least three words.
+LEAST_COVERAGE = 0.7
+LEAST_DUMMY_COVERAGE = 0.8
+LEAST_THING_COVERAGE = 0.8
+_LEAST_LETTERS = re.compile(r"[^\W\d_]")
 _KEYBOARD = re.compile(r"(?:asdf|sdfg|dfgh|qwerty|qwer|wert|zxcv|xcvb|hjkl|lkjh|poiu|uiop|jkl|ty)+\Z")
 _CROSSES = re.compile(r"x{2,}\Z")
-_EMPTY_VALUES = r"(?:null|none|nan|undefined|\[object object\])"
-_RENDERED = re.compile(rf"(?:^|\n)\s*{_EMPTY_VALUES}\s+(?:page|صفحہ)\s+{_EMPTY_VALUES}(?=\s|$)", re.IGNORECASE)
-
-# Names of HTML elements; in angle brackets they are markup, not fields.
-HTML_ELEMENTS = """a abbr b blockquote body br code div em figure font footer form h0 h1 h2 h3 h4 h5 h6 head header hr html i img input li
-link main meta nav noscript ol option p pre script section select small span strong style sub sup table tbody td th thead title tr u ul"""
-
-_NAME = r"[^\W_](?:[\w.\- ]{0,38}[^\W_])?"
-#: Between doubled delimiters: a name of any length, or anything up to the closing one on the line; neither goes past another opening one, so a scan stays linear.
-_LONG_NAME = r"[^\W_](?:(?:(?!__)[\w.\- ])*[^\W_])?"
-
-
-def _doubled(opening: str, closing: str) -> str:
-    inside = rf"(?!{opening}|{closing})"
-    return rf"{opening}(?:{inside}(?:_|[^\w\n]))*[^\W_](?:{inside}[^\n])*{closing}"
-
-
-_FIELD = re.compile(
-    "|".join(
-        (
-            rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}",
-            _doubled(r"\{\{", r"\}\}"),
-            rf"\{{ ?\{{ ?{_NAME} ?\}} ?\}}",
-            rf"\$\{{\s*{_NAME}\s*\}}",
-            _doubled(r"\{%", r"%\}"),
-            _doubled("<%", "%>"),
-            rf"%\({_NAME}\)s",
-            _doubled(r"\[\[", r"\]\]"),
-            _doubled("<<", ">>"),
-            rf"##{_LONG_NAME}##",
-            rf"@@{_LONG_NAME}@@",
-            rf"__+{_LONG_NAME}__+",
-            rf"«\s*{_NAME}\s*»",
-            rf"\$[^\W\d_][\w.\-]{{1,38}}\$",
-            rf"%[^\W\d_][\w.\-]{{1,38}}%",
-            rf"\[\s*{_NAME}\s*\]",
-            rf"\{{{_NAME}\}}",
-            rf"<{_NAME}>",
-            r"\([^()\n]{1,38} پُ?ر کریں\)",
-        )
-    )
-)
 _MARKERS = re.compile(r"[{$%<\[#@_«(&]")
 _NAMED = re.compile(r"(?:\b(?:field|variable|macro|placeholder|pattern|key|tag|token|config|block|element)\s*[`'\"‘’“”]?|[`'\"‘“]|\\\w+)\Z", re.IGNORECASE)
 _NAMED_AFTER = re.compile(r"[`'\"’”]|\s*کی جگہ")
+_PLAIN_NAME = re.compile(r"[^\W_][\w.\- ]*\Z")
+_IDENTIFIER = re.compile(r"[^\W\d_]{2,}\w*(?:[_.\-][^\W\d_]{2,}\w*)+\Z|[a-z]{2,}[A-Z][a-zA-Z]+\Z")
+_CAPITALS = re.compile(r"[A-Z]{3,}\Z")
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠-⁤⁦-⁩﻿]")
 _MARKS = re.compile(r"[̀-ͯؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۨ-ۭ]")
 _FOLD = str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "ه": "ہ", "ة": "ہ", "ۃ": "ہ", "أ": "ا", "إ": "ا", "ئ": "ئ", "’": "'", "‘": "'"})
 _DIGIT_RUN = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>")
-_SENTENCE = re.compile(r"(?<=[.!?;؟۔])\s+|\n")
+_IDEOGRAPH = re.compile(r"([\u3040-\u30ff\u3400-\u9fff])")
+_SENTENCE = re.compile(r"(?<=[.!?;؟۔।])\s+|[。！？\n]")
 
 
 def _plain(text: str) -> str:
-    """Lower case, digit runs as 0, one form of look-alike letters, no marks, no invisible characters."""
+    """Lower case, digit runs as 0, one form of look-alike letters, no marks, no invisible characters; ideographs and kana stand alone."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-        text = _MARKS.sub("", text).translate(_FOLD)
+        text = _IDEOGRAPH.sub(r" \1 ", _MARKS.sub("", text).translate(_FOLD))
     return _DIGIT_RUN.sub("0", text.casefold().replace("'", ""))
 
 
+def _words(text: str) -> list[str]:
+    return _WORD.findall(_plain(text))
+
+
 def _phrases(block: str) -> list[str]:
-    return [" ".join(_WORD.findall(_plain(p))) for line in block.strip().splitlines() for p in line.split("|")]
+    found = (" ".join(_words(p)) for line in block.strip().splitlines() for p in line.split("|"))
+    return [p for p in found if p]
 
 
 class ResidueMatcher:
     """The automata and the rules; one per worker."""
 
     def __init__(self) -> None:
-        kinds = (("error", ERROR_PHRASES), ("script", SCRIPT_PHRASES), ("filler", FILLER_PHRASES))
-        self._dummy = set(_plain(DUMMY_WORDS).split())
-        self._html = set(HTML_ELEMENTS.split())
-        lorem = _plain(LOREM_WORDS).split()
-        self._all = ahocorasick.Automaton()
-        self._strong = ahocorasick.Automaton()
-        for phrase in _phrases(GLUE_PHRASES):
-            self._all.add_word(f" {phrase} ", (len(phrase) + 2, ""))
+        self._dummy = set(_words(data.DUMMY_WORDS))
+        self._number = set(_words(data.NUMBER_WORDS))
+        self._empty = set(data.EMPTY_VALUES)
+        self._function = set(data.FUNCTION_WORDS.split())
+        self._html = set(data.HTML_ELEMENTS.split())
+        self._names = set(_phrases(data.FIELD_NAMES))
+        self._fill_in = set(_phrases(data.FILL_IN))
+        self._all, self._strong = ahocorasick.Automaton(), ahocorasick.Automaton()
+        kinds = [("", data.GLUE), ("thing", data.THINGS), ("of a thing", data.ERRORS_OF_THINGS), *[("error", block) for block in data.ERRORS.values()], ("script", data.SCRIPTS), ("filler", data.FILLERS), ("lorem", data.LOREM_WORDS.replace(" ", "|"))]
         for kind, block in kinds:
             for phrase in _phrases(block):
                 self._all.add_word(f" {phrase} ", (len(phrase) + 2, kind))
-                self._strong.add_word(f" {phrase} ", kind)
-        for word in lorem:
-            self._all.add_word(f" {word} ", (len(word) + 2, "lorem"))
-            self._strong.add_word(f" {word} ", "lorem")
+                if kind not in ("", "thing"):
+                    self._strong.add_word(f" {phrase} ", kind)
         self._all.make_automaton()
         self._strong.make_automaton()
+        self._pairs = [(pair, True) for pair in data.STRONG_DELIMITERS] + [(pair, False) for pair in data.WEAK_DELIMITERS]
+        roles: dict[str, tuple[list[int], list[int]]] = {"\n": ([], [])}
+        for number, ((opening, closing), _) in enumerate(self._pairs):
+            roles.setdefault(opening, ([], []))[0].append(number)
+            roles.setdefault(closing, ([], []))[1].append(number)
+        self._delimiters = ahocorasick.Automaton()
+        for delimiter, (opens, closes) in roles.items():
+            self._delimiters.add_word(delimiter, (len(delimiter), opens, closes))
+        self._delimiters.make_automaton()
 
-    def fields(self, text: str) -> int:
-        """Unfilled template fields that are neither quoted nor named as fields."""
-        found = 0
-        for match in _FIELD.finditer(text):
-            got = match.group()
-            inner = got.strip("<>/ ").lower()
-            if got[0] == "<" and got[1] not in "<%" and (inner.split(" ")[0] in self._html or len(inner) < 2):
+    def _is_field(self, pair: int, inner: str, before: str) -> bool:
+        """Whether what stands between two delimiters is an unfilled field."""
+        (opening, closing), strong = self._pairs[pair]
+        inner = inner.strip(" =-_{}%\t")
+        if not _LEAST_LETTERS.search(inner):
+            return False
+        if strong:
+            return opening != closing or bool(_PLAIN_NAME.match(inner))
+        if before[-1:].isalnum() or not _PLAIN_NAME.match(inner.replace("ُ", "")):
+            return False
+        if opening == "<" and inner.lower().split(" ")[0] in self._html:
+            return False
+        words = _words(inner)
+        name = " ".join(words)
+        if opening not in ("(", "«") and (name in self._names or _IDENTIFIER.match(inner)):
+            return True
+        if opening in ("%", "$", "__"):
+            return bool(_CAPITALS.match(inner))
+        ends = [n for n in range(1, min(4, len(words))) if " ".join(words[-n:]) in self._fill_in]
+        begins = [n for n in range(1, min(4, len(words))) if " ".join(words[:n]) in self._fill_in]
+        if opening == "(":
+            return any(" ".join(words[:-n]) in self._names for n in ends)
+        return len(words) <= 8 and bool(ends or (begins and opening != "«"))
+
+    def field_spans(self, text: str) -> list[tuple[int, int]]:
+        """Places of unfilled template fields that are neither quoted nor named as fields; each lies within a line."""
+        found: list[tuple[int, int]] = []
+        opened: dict[int, tuple[int, int]] = {}
+        for end, (size, opens, closes) in self._delimiters.iter_long(text):
+            begin = end - size + 1
+            if not opens and not closes:
+                opened.clear()
                 continue
-            if _NAMED.search(text[max(0, match.start() - 24) : match.start()]) or _NAMED_AFTER.match(text, match.end()):
+            closed = False
+            for pair in closes:
+                start, inside = opened.get(pair, (-1, -1))
+                if start >= 0 and self._is_field(pair, text[inside:begin], text[max(0, start - 1) : start]):
+                    if not _NAMED.search(text[max(0, start - 24) : start]) and not _NAMED_AFTER.match(text, end + 1):
+                        found.append((start, end + 1))
+                    closed = True
+                    break
+            if closed:
+                opened.clear()
                 continue
-            found += 1
+            for pair in closes:
+                opened.pop(pair, None)
+            for pair in opens:
+                opened[pair] = (begin, end + 1)
         return found
 
+    def fields(self, text: str) -> int:
+        """Number of unfilled template fields."""
+        return len(self.field_spans(text))
+
     def _is_dummy(self, word: str) -> bool:
         return word in self._dummy or word == "0" or bool(_CROSSES.match(word)) or (len(word) > 3 and bool(_KEYBOARD.match(word)))
 
-    def _mostly_dummy(self, words: list[str]) -> bool:
-        """Whether dummy words are at least three and reach their share; stops once too many others came."""
-        least, dummies = max(3, LEAST_DUMMY_COVERAGE * len(words)), len(words)
+    def _mostly_plain(self, words: list[str]) -> bool:
+        """Whether words that alone make residue may be enough of the unit; stops once too many others came."""
+        if words[0] in self._empty:
+            return True
+        least, left = max(2, 0.5 * len(words)), len(words)
         for word in words:
-            if dummies < least:
+            if left < least:
                 return False
-            dummies -= not self._is_dummy(word)
-        return dummies >= least
+            left -= not (self._is_dummy(word) or word in self._number or word in self._empty)
+        return left >= least
 
-    def unit(self, words: list[str]) -> tuple[str, int]:
-        """Kind of residue of a unit, empty if none, and its number of covered words."""
+    def unit(self, words: list[str]) -> str:
+        """Kind of residue of a unit, empty if none."""
         joined = f" {' '.join(words)} "
         covered = bytearray(len(joined))
         kinds: dict[str, int] = {}
@@ -203,51 +173,72 @@ class ResidueMatcher:
             covered[begin:end] = b"\x01" * (end - begin)
             if kind:
                 kinds[kind] = kinds.get(kind, 0) + 1
-        at, dummies, hit = 1, 0, 0
+        at, plain, own, numbers, empty, hit = 1, 0, 0, 0, 0, 0
+        total = sum(w not in self._function for w in words) or len(words)
+        every = total == len(words)
         for word in words:
             dummy = self._is_dummy(word)
-            dummies += dummy
-            hit += covered[at] or dummy
+            plain += dummy
+            own += dummy and word != "0"
+            numbers += word in self._number
+            empty += word in self._empty
+            hit += (every or word not in self._function) and bool(covered[at] or dummy)
             at += len(word) + 1
-        lorem = kinds.pop("lorem", 0)
-        if lorem >= 3 and lorem >= LEAST_COVERAGE * len(words):
-            return "filler", hit
-        if kinds and hit >= LEAST_COVERAGE * len(words):
-            return max(kinds, key=lambda k: (kinds[k], k)), hit
-        letters = sum(w != "0" and self._is_dummy(w) for w in words)
-        if letters >= 3 and dummies >= LEAST_DUMMY_COVERAGE * len(words):
-            return "filler", hit
-        return "", hit
+        lorem, thing, of_thing = (kinds.pop(k, 0) for k in ("lorem", "thing", "of a thing"))
+        if lorem >= 3 and lorem >= 0.6 * len(words):
+            return "filler"
+        if kinds and hit >= LEAST_COVERAGE * total:
+            return max(kinds, key=lambda k: (kinds[k], k))
+        if of_thing and (thing or len(words) <= 4) and hit >= LEAST_THING_COVERAGE * total:
+            return "error"
+        if own >= 3 and plain + numbers >= LEAST_DUMMY_COVERAGE * len(words):
+            return "filler"
+        if empty >= 2 and empty >= 0.5 * len(words):
+            return "template"
+        return ""
 
     def judge(self, text: str | None) -> tuple[list[str], float]:
-        """Kinds of residue found in a text, and the share of its words in residue."""
+        """Kinds of residue found in a text, and the share of its words that stand in residue."""
         if not text or text.isspace():
             return [], 0.0
         if "&" in text:
             text = html.unescape(text)
         if not text.isascii():
             text = _INVISIBLE.sub("", text)
-        kinds = set()
+        kinds, inside, fields = set(), 0, 0
         if _MARKERS.search(text):
-            if self.fields(text):
+            pieces, last = [], 0
+            for begin, end in self.field_spans(text):
+                fields += max(1, len(_words(text[begin:end])))
+                pieces += [text[last:begin], " "]
+                last = end
+            if fields:
+                kinds.add("template")
+                text = "".join([*pieces, text[last:]])
+            if "[object object]" in text.lower():
                 kinds.add("template")
+                fields += 2
             text = _TAG.sub(lambda m: " " if m.group().strip("</>").split(" ")[0].lower() in self._html else m.group(), text)
-        if _RENDERED.search(text):
-            kinds.add("template")
-        plain = _plain(text)
-        units = [words for unit in _SENTENCE.split(plain) if (words := _WORD.findall(unit))]
-        total = sum(map(len, units))
-        inside = 0
+        units = [words for unit in _SENTENCE.split(_plain(text)) if (words := _WORD.findall(unit))]
+        total = sum(map(len, units)) + fields
         flat = f" {' '.join(w for u in units for w in u)} "
         suspect = next(self._strong.iter(flat), None) is not None
         for words in units:
-            if not suspect and not self._mostly_dummy(words):
+            if not suspect and not self._mostly_plain(words):
                 continue
-            kind, _ = self.unit(words)
+            kind = self.unit(words)
             if kind:
                 kinds.add(kind)
                 inside += len(words)
-        return sorted(kinds), inside / total if total else 0.0
+            elif len(words) > 2 and words[0] in self._empty and words[2] in self._empty:  # a heading that was filled with nothing, before content
+                kinds.add("template")
+                inside += 3
+        return sorted(kinds), (inside + fields) / total if total else 0.0
+
+    def found(self, text: str | None, least: float = LEAST_DOCUMENT_COVERAGE) -> bool:
+        """Whether a text is excluded."""
+        kinds, coverage = self.judge(text)
+        return bool(kinds) and coverage >= least
 
 
 @lru_cache(maxsize=1)
@@ -255,11 +246,11 @@ def _matcher() -> ResidueMatcher:
     return ResidueMatcher()
 
 
-def judge_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, kinds array<string>, coverage double) of every row; no shuffle, whole texts.
+def judge_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_coverage: float = LEAST_DOCUMENT_COVERAGE) -> DataFrame:
+    """(id, kinds array<string>, coverage double, excluded boolean) of every row; no shuffle, whole texts.
 
-    Null, empty and blank texts have no residue. Repeated rows are judged each. Only the two named
-    columns are read.
+    Excluded are documents with residue that covers at least ``least_coverage`` of their words. Null,
+    empty and blank texts have no residue. Repeated rows are judged each. Only the two named columns are read.
     """
     id_type = df.schema[id_column].dataType.simpleString()
 
@@ -272,8 +263,9 @@ def judge_documents(df: DataFrame, id_column: str = "doc_id", text_column: str =
                     batch.column(0),
                     pa.array([k for k, _ in found], type=pa.list_(pa.string())),
                     pa.array([c for _, c in found], type=pa.float64()),
+                    pa.array([bool(k) and c >= least_coverage for k, c in found], type=pa.bool_()),
                 ],
-                names=[id_column, "kinds", "coverage"],
+                names=[id_column, "kinds", "coverage", "excluded"],
             )
 
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, kinds array<string>, coverage double")
+    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, kinds array<string>, coverage double, excluded boolean")
