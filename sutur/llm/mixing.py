@@ -157,7 +157,9 @@ def mixture_shares(documents: DataFrame, targets: DataFrame, wanted: int | str |
     """Per listed source: target share, tokens there and taken, share reached, most copies, and whether it is met.
 
     A target counts as met if the tokens taken are within one largest document of the quota and the
-    quota is not cut by the cap or by an empty source.
+    quota is not cut by the cap or by an empty source. ``share_met`` is about the share itself: it is
+    the target, give or take the largest document taken of the source. A source without tokens, or at
+    its cap, leaves the others above their targets, so a source may have met its quota and not its share.
     """
     mixed, plan = mixture(documents, targets, wanted, path=path)
     spark = documents.sparkSession
@@ -172,8 +174,10 @@ def mixture_shares(documents: DataFrame, targets: DataFrame, wanted: int | str |
     share = F.try_divide(F.col("tokens"), F.col("all_tokens"))
     met = (F.col("quota") > 0) & (F.abs(F.col("tokens") - F.col("quota")) <= F.coalesce("largest", F.lit(0)))
     planned = F.try_divide(F.col("quota"), F.col("all_quota"))
+    off = F.abs(F.col("tokens") - F.col("target_share") * F.col("all_tokens"))
+    share_met = F.coalesce((F.col("target_share") > 0) & (F.col("tokens") > 0) & (off <= F.col("largest")), F.lit(False))
     return joined.join(F.broadcast(total)).select(
         "source", "target_share", "max_repeats", "available", "quota", "tokens", F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), share.alias("reached_share"),
-        (met & (planned >= F.col("target_share") * 0.999)).alias("met"),
+        (met & (planned >= F.col("target_share") * 0.999)).alias("met"), share_met.alias("share_met"),
     )

@@ -11,7 +11,9 @@ bins are allocated to the splits by target proportion.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,28 @@ FAN_IN = 256
 # Entity ids that stand for "not known", in canonical spelling.
 NOT_KNOWN = ("unknown", "n/a", "-")
 _ROUNDS = 60
+#: A key with more than one such part of all rows is joined by a broadcast of its one row, at most so many rows; only the others are shuffled.
+HOT_KEYS = 64
+ONE_TASK = 200_000
+
+
+def join_least(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows``, a written table, with ``per_key``: one row per key, with the number ``n`` of its rows; ``n`` is dropped.
+
+    The few keys that hold a large part of the rows don't go through the shuffle, so a hub is spread
+    over as many tasks as its rows lie in. Tables that one task can take are joined as they are.
+    """
+    if rows.count() <= ONE_TASK:
+        return rows.join(per_key.drop("n").hint("merge"), key)
+    per_key = materialize(per_key, "per-key")
+    total, most = per_key.agg(F.sum("n"), F.max("n")).head()
+    if not total or most * HOT_KEYS <= total:
+        return rows.join(per_key.drop("n").hint("merge"), key)
+    hot = per_key.where(F.col("n") * HOT_KEYS > total).drop("n")
+    known = rows.sparkSession.createDataFrame(hot.collect(), hot.schema)  # fewer than HOT_KEYS rows
+    broad = rows.join(F.broadcast(known), key)
+    narrow = rows.join(F.broadcast(known.select(key)), key, "left_anti").join(per_key.drop("n").hint("merge"), key)
+    return broad.unionByName(narrow)
 
 
 def current_partitions(assignments: DataFrame) -> DataFrame:
@@ -54,8 +78,8 @@ def _key_edges(documents: DataFrame, entities: DataFrame) -> tuple[DataFrame, Da
         .join(keys, "key", "left_semi")
     )
     links = materialize(links, "links")
-    least = links.groupBy("entity").agg(F.min("key").alias("least"))  # pre-aggregated: a hot entity is one row
-    edges = links.join(least, "entity").where("key <> least").select("key", "least").distinct()
+    least = links.groupBy("entity").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    edges = join_least(links, least, "entity").where("key <> least").select("key", "least").distinct()
     return keys, edges
 
 
@@ -63,8 +87,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """(key, least): the smallest key of the component of every key with a smaller one in it.
 
     Large-star and small-star rounds until nothing changes. Every round joins the edges with one
-    pre-aggregated row per node, so no task ever holds all neighbours of a node, and is written to
-    the shared folder. ``edges`` are (key, least) pairs with key > least.
+    pre-aggregated row per node, hubs apart from the shuffle, so no task ever holds all neighbours of
+    a hub, and is written to the shared folder. ``edges`` are (key, least) pairs with key > least.
     """
     current = materialize(edges, "stars")
     sign = None
@@ -72,16 +96,16 @@ def connected(edges: DataFrame) -> DataFrame:
         both = current.select(F.col("key").alias("u"), F.col("least").alias("v")).unionByName(
             current.select(F.col("least").alias("u"), F.col("key").alias("v"))
         )
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("key"), F.col("m").alias("least")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_least(both.where("v > u"), low, "u").where("v <> m").select(F.col("v").alias("key"), F.col("m").alias("least")).distinct()
         large = materialize(large, "stars")
-        low = large.groupBy("key").agg(F.min("least").alias("m"))
-        small = large.join(low, "key").where("least <> m").select(F.col("least").alias("key"), F.col("m").alias("least"))
+        low = large.groupBy("key").agg(F.min("least").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_least(large, low, "key").where("least <> m").select(F.col("least").alias("key"), F.col("m").alias("least"))
         small = small.unionByName(low.select("key", F.col("m").alias("least"))).distinct()
         after = materialize(small, "stars")
         now = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("key", "least").cast("decimal(38,0)"))).head())
-        drop_materialized(large)
-        drop_materialized(current)
+        for done in (large, current):
+            drop_materialized(done)
         current = after
         if now == sign:
             return current
@@ -100,39 +124,77 @@ def related_groups(manifest: DataFrame, entities: DataFrame) -> DataFrame:
     _, edges = _key_edges(documents, entities)
     stars = connected(edges)
     keyed = documents.withColumn("key", alike(F.col("document_id")))
-    rooted = keyed.join(stars, "key", "left").select("document_id", F.coalesce("least", "key").alias("root"))
+    rooted = keyed.join(stars.hint("merge"), "key", "left").select("document_id", F.coalesce("least", "key").alias("root"))
     rooted = materialize(rooted, "rooted")
-    names = rooted.groupBy("root").agg(F.min("document_id").alias("group_id"))
-    return rooted.join(names, "root").select("group_id", "document_id")
+    names = rooted.groupBy("root").agg(F.min("document_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    return materialize(join_least(rooted, names, "root").select("group_id", "document_id"), "groups")
 
 
 def broken_groups(groups: DataFrame, partitions: DataFrame) -> DataFrame:
     """Rows of the groups whose documents have two or more different current partitions."""
-    placed = groups.join(partitions, "document_id", "left")
-    broken = placed.groupBy("group_id").agg(F.min("partition").alias("lo"), F.max("partition").alias("hi")).where("lo <> hi")
-    return groups.join(broken.select("group_id"), "group_id", "left_semi").select("group_id", "document_id")
+    placed = groups.join(partitions.hint("merge"), "document_id", "left")
+    broken = placed.groupBy("group_id").agg(F.min("partition").alias("lo"), F.max("partition").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    return join_least(groups, broken.select("group_id", "n"), "group_id").select("group_id", "document_id")
 
 
-def largest_differencing(tuples: list[list[tuple[int, object]]]) -> list[tuple[int, list[object]]]:
-    """One tuple of bins from many: always combine the two tuples of largest spread.
+def differenced(tuples: Sequence[np.ndarray], bins: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Loads of the bins, and for every tuple the bins that its entries end in: always combine the two tuples of largest spread.
 
-    A tuple is a list of (load, mark) of equal length. The heaviest bin of one goes with the
-    lightest of the other. Gives (load, marks) bins. Ties are broken by the order of arrival.
+    A tuple is an array of at most ``bins`` loads, the largest first; what it lacks is 0. The heaviest
+    bin of one goes with the lightest of the other. Ties are broken by the order of arrival. A
+    combination keeps two small arrays, its parts and where its bins come from; what lies where is read off on the way back.
     """
-    heap = []
-    for order, bins in enumerate(tuples):
-        bins = sorted(((load, [mark] if mark is not None else []) for load, mark in bins), key=lambda b: -b[0])
-        heap.append((bins[-1][0] - bins[0][0], order, bins))
+    if not len(tuples):
+        return np.zeros(bins, dtype=np.int64), []
+    spread = lambda loads: int(loads[-1] if len(loads) == bins else 0) - int(loads[0])
+    heap = [(spread(loads), order) for order, loads in enumerate(tuples)]
     heapq.heapify(heap)
-    order = len(heap)
+    loads: dict[int, np.ndarray] = {}
+    parts: list[tuple[int, int, np.ndarray]] = []
+
+    def taken(node: int) -> np.ndarray:
+        if node >= len(tuples):
+            return loads.pop(node)
+        whole = np.zeros(bins, dtype=np.int64)
+        whole[: len(tuples[node])] = tuples[node]
+        return whole
+
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        merged = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))]
-        merged.sort(key=lambda s: -s[0])
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], order, merged))
-        order += 1
-    return heap[0][2] if heap else []
+        one, two = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        merged = taken(one) + taken(two)[::-1]
+        order = np.argsort(-merged, kind="stable").astype(np.int16)
+        node = len(tuples) + len(parts)
+        parts.append((one, two, order))
+        loads[node] = merged[order]
+        heapq.heappush(heap, (spread(loads[node]), node))
+    root = heap[0][1]
+    total = taken(root)
+    places: list[np.ndarray] = [np.zeros(0, dtype=np.int16)] * len(tuples)
+    pending = [(root, np.arange(bins, dtype=np.int16))]
+    while pending:
+        node, ends = pending.pop()
+        if node < len(tuples):
+            places[node] = ends[: len(tuples[node])]
+            continue
+        one, two, order = parts[node - len(tuples)]
+        before = np.empty_like(ends)
+        before[order] = ends
+        pending += [(one, before), (two, before[::-1])]
+    return total, places
+
+
+def largest_differencing(tuples: list[list[tuple[int, object]]]) -> list[tuple[int, list[object]]]:
+    """One tuple of bins from many, as (load, marks): ``differenced`` for lists of (load, mark) of equal length."""
+    if not tuples:
+        return []
+    ordered = [sorted(bins, key=lambda b: -b[0]) for bins in tuples]
+    loads, places = differenced([np.array([load for load, _ in bins], dtype=np.int64) for bins in ordered], len(ordered[0]))
+    marks: list[list[object]] = [[] for _ in loads]
+    for bins, ends in zip(ordered, places):
+        for (_, mark), end in zip(bins, ends):
+            if mark is not None:
+                marks[end].append(mark)
+    return [(int(load), found) for load, found in zip(loads, marks)]
 
 
 def balanced_bins(components: DataFrame, bins: int = BINS, share: int = SHARE) -> DataFrame:
@@ -150,13 +212,9 @@ def balanced_bins(components: DataFrame, bins: int = BINS, share: int = SHARE) -
 
     def local(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["weight", "component"], ascending=[False, True], ignore_index=True)
-        empty = [(0, None)] * (bins - 1)
-        found = largest_differencing([[(int(w), i), *empty] for i, w in enumerate(rows["weight"])])
-        at = [0] * len(rows)
-        for number, (_, marks) in enumerate(found):
-            for mark in marks:
-                at[mark] = number
-        return plain_strings(rows.assign(local=pd.Series(at, dtype="int32"))[["component", "weight", "share", "local"]])
+        _, places = differenced(rows["weight"].to_numpy(dtype=np.int64).reshape(-1, 1), bins)
+        at = np.array([ends[0] for ends in places], dtype=np.int32)
+        return plain_strings(rows.assign(local=at)[["component", "weight", "share", "local"]])
 
     current = placed.groupBy("share").applyInPandas(local, "component string, weight bigint, share bigint, local int")
     current = materialize(current, "bins")
@@ -200,7 +258,7 @@ def assign_splits(groups: DataFrame, manifest: DataFrame, ratios: dict[str, floa
     An empty manifest gives no rows. A group heavier than its split's target still stays whole.
     """
     rows = manifest.where("document_id is not null").groupBy("document_id").agg(F.count(F.lit(1)).alias("rows"))
-    weighted = groups.join(rows, "document_id").groupBy("group_id").agg(F.sum("rows").alias("weight"))
+    weighted = groups.join(rows.hint("merge"), "document_id").groupBy("group_id").agg(F.sum("rows").alias("weight"))
     binned = balanced_bins(weighted.select(F.col("group_id").alias("component"), "weight"), bins)
     loads = {r.bin: r.load for r in binned.groupBy("bin").agg(F.sum("weight").alias("load")).collect()}
     split = allocate_bins(loads, ratios)  # one entry per bin
@@ -208,7 +266,8 @@ def assign_splits(groups: DataFrame, manifest: DataFrame, ratios: dict[str, floa
     if split:
         name = F.element_at(F.create_map(*[F.lit(x) for pair in split.items() for x in pair]), F.col("bin"))
     named = binned.select(F.col("component").alias("group_id"), "bin", name.alias("split"))
-    return groups.join(named, "group_id").select("group_id", "document_id", "bin", "split")
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    return join_least(groups, named.join(sizes.hint("merge"), "group_id"), "group_id").select("group_id", "document_id", "bin", "split")
 
 
 def requested_ratios(assignments: DataFrame) -> dict[str, float]:

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +84,10 @@ def term_frequencies(
             (F.lit(True) if counted is None else counted).alias("counted"),
         ).where(F.col("term").isNotNull())
 
-    def count(heavy: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(heavy: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = pa.array(heavy, type=pa.string())
-            occurred, held = np.zeros(len(heavy), dtype=np.int64), np.zeros(len(heavy), dtype=np.int64)
+            known = pa.array(heavy.value, type=pa.string())
+            occurred, held = np.zeros(len(known), dtype=np.int64), np.zeros(len(known), dtype=np.int64)
             for batch in batches:
                 found, occurrences, records = _tally(*_parts(batch, tokenize))
                 place = pc.index_in(found, value_set=known)
@@ -108,14 +109,15 @@ def term_frequencies(
 
         return run
 
+    share = df.sparkSession.sparkContext.broadcast
     detect = df if detect_in is None else detect_in
     fraction = min(1.0, SAMPLE_RECORDS / max(detect.count(), 1))
     sample = shaped(detect.sample(fraction=fraction, seed=17) if fraction < 1 else detect)
-    seen = sample.mapInArrow(count([]), _COUNTS).groupBy("term").agg(F.sum("occurrences").alias("n"))
+    seen = sample.mapInArrow(count(share([])), _COUNTS).groupBy("term").agg(F.sum("occurrences").alias("n"))
     top = seen.orderBy(F.desc("n"), "term").limit(heavy_terms).collect()
     least = HEAVY_SHARE * sum(r.n for r in top)
     heavy = [r.term for r in top if r.n >= least]
-    counts = shaped(df).mapInArrow(count(heavy), _COUNTS)
+    counts = shaped(df).mapInArrow(count(share(heavy)), _COUNTS)
     return counts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

@@ -171,6 +171,32 @@ def test_splits_of_groups(spark):
     assert splits.assign_splits(groups.limit(0), manifest.limit(0), ratios).count() == 0
 
 
+def test_hubs_stay_out_of_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(splits, "ONE_TASK", 100)
+    documents = [f"d{i:04d}" for i in range(900)]
+    links = [(d, "scribe", "hub") for d in documents[300:]] + [(d, "volume", f"v{i // 2}") for i, d in enumerate(documents)]
+    manifest = spark.createDataFrame([(d,) for d in documents], "document_id string")
+    entities = spark.createDataFrame(links, "document_id string, entity_kind string, entity_id string")
+    assert {tuple(r) for r in splits.related_groups(manifest, entities).collect()} == _brute_groups(documents, links)
+    rows = spark.createDataFrame([("hub" if i % 3 else f"k{i}", i) for i in range(600)], "k string, i int")
+    keys = rows.groupBy("k").agg(F.max("i").alias("m"), F.count(F.lit(1)).alias("n"))
+    found = splits.join_least(rows, keys, "k")
+    assert found.count() == 600 and found.where("i > m").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
+def test_differencing_keeps_every_component():
+    rng = random.Random(9)
+    weights = sorted((rng.randint(1, 60) for _ in range(3000)), reverse=True)
+    loads, places = splits.differenced([splits.np.array([w]) for w in weights], 20)
+    found = Counter()
+    for w, ends in zip(weights, places):
+        found[int(ends[0])] += w
+    assert [found[b] for b in range(20)] == loads.tolist() and max(loads) - min(loads) <= 2
+    assert splits.differenced([], 5)[0].tolist() == [0] * 5
+
+
 def test_term_frequencies(spark):
     rng = random.Random(8)
     texts = [None, "", " ", "é é"] + [" ".join(rng.choice(["the", "the", "the", "a", f"w{rng.randint(0, 300)}"]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
@@ -286,6 +312,15 @@ def test_fields_with_any_content():
     assert [matcher.fields(t) for t in ("{{ a " * 20_000, "__a " * 20_000, "{{" + " a" * 100_000, "##" + " a" * 100_000)] == [0, 0, 0, 0]
 
 
+def test_share_met_is_about_the_share(spark):
+    documents = spark.createDataFrame([(i, "word " * 40, s) for i, s in enumerate(["a", "b"] * 300)], "doc_id bigint, text string, source string")
+    goals = lambda *rows: spark.createDataFrame(list(rows), "source string, target_share double, max_repeats int")
+    both = {r.source: r.share_met for r in mixing.mixture_shares(documents, goals(("a", 0.6, 2), ("b", 0.4, 2))).collect()}
+    assert both == {"a": True, "b": True}
+    short = {r.source: (r.met, r.share_met) for r in mixing.mixture_shares(documents, goals(("a", 0.5, 2), ("b", 0.4, 2), ("none", 0.1, 2))).collect()}
+    assert short == {"a": (True, False), "b": (True, False), "none": (False, False)}
+
+
 def test_mixture_of_all_tokens_names_shortfalls(spark, tmp_path):
     from sutur.llm import queries
 
