@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sutur.errors import ConfigurationError, SplitError
-from sutur.functions.fingerprints import canonical_json
-from sutur.functions.numbers import tie_digest
-from sutur.guards import require_unique
+from sutur.functions.fingerprints import canonical_json, dataset_fingerprint
+from sutur.functions.numbers import resized_width, tie_digest, width_to_timesteps
+from sutur.functions.sequences import is_alignable
+from sutur.functions.text import characters
+from sutur.guards import require_empty, require_unique
+from sutur.operators.vocabulary import NORMALIZATION_POLICY
 from sutur.schemas import PARTITIONS
 from sutur.session import materialize, plain_strings
 
@@ -169,3 +172,66 @@ def leakage(split: DataFrame, digest: str | None = None) -> DataFrame:
         labels = split.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
         found = found.unionByName(labels.where("lo <> hi").select(F.lit("conflicting_label").alias("kind"), F.col(digest).alias("key")))
     return found
+
+
+def split_metadata(split: DataFrame, assigned: DataFrame, dataset_fingerprint_: str, config: SplitConfig = SplitConfig()) -> dict[str, object]:
+    """The record of a split: request, result, every assignment, fingerprints, and the hash of every partition's manifest.
+
+    The assignments of all documents are part of the record, so it is as long as there are documents.
+    """
+    counts = {r.partition: r for r in split_counts(assigned).collect()}
+    named = assigned.select("document_id", "partition").orderBy("document_id").toLocalIterator(prefetchPartitions=True)
+    return {
+        "schema_version": 1,
+        "normalization_policy_version": NORMALIZATION_POLICY,
+        "algorithm": ALGORITHM,
+        "seed": config.seed,
+        "requested_ratios": dict(zip(PARTITIONS, config.ratios)),
+        "achieved_ratios": {n: counts[n].ratio for n in PARTITIONS},
+        "achieved_sample_counts": {n: counts[n].samples for n in PARTITIONS},
+        "achieved_document_counts": {n: counts[n].documents for n in PARTITIONS},
+        "document_assignments": [{"document_id": r.document_id, "partition": r.partition} for r in named],
+        "dataset_fingerprint": dataset_fingerprint_,
+        "split_fingerprint": split_fingerprint(assigned, dataset_fingerprint_, config),
+        "output_sha256": {f"{n}.jsonl": dataset_fingerprint(split.where(F.col("partition") == n)) for n in PARTITIONS},
+    }
+
+
+def training_preflight(split: DataFrame, vocabulary: DataFrame, width: str = "image_width", height: str = "image_height", digest: str = "digest") -> dict[str, object]:
+    """Fail unless train and validation can be trained on; gives their counts and fingerprints.
+
+    Both must hold samples and share no sample, no document; an image may have one text only; every
+    character must be in the vocabulary (idx, ch); and a line must have as many frames as its text
+    needs. An image without a known or usable size fails.
+    """
+    rows = materialize(split.where("partition in ('train', 'validation')"), "preflight")
+    sizes = {r.partition: r.n for r in rows.groupBy("partition").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(sizes.get(n, 0) for n in ("train", "validation")) == 0:
+        raise SplitError("train and validation must hold samples")
+    require_empty(leakage(rows, digest), SplitError, "train and validation are not apart")
+    unknown = rows.select("sample_id", F.explode(F.array_distinct(characters(F.col("text")))).alias("ch")).join(F.broadcast(vocabulary.select("ch")), "ch", "left_anti")
+    require_empty(unknown.select("sample_id", "ch"), SplitError, "a character is not in the vocabulary")
+    frames = width_to_timesteps(resized_width(F.col(width), F.col(height)))
+    short = rows.where(~F.coalesce(is_alignable(characters(F.col("text")), frames), F.lit(False)))
+    require_empty(short.select("partition", "sample_id"), SplitError, "a text does not fit the frames of its line")
+    part = lambda n: rows.where(F.col("partition") == n)
+    return {n: {"samples": sizes[n], "fingerprint": dataset_fingerprint(part(n))} for n in ("train", "validation")}
+
+
+def batches(samples: DataFrame, size: int, seed: int | None = None) -> DataFrame:
+    """Adds ``batch bigint``: rows in order of sample_id, or of a seeded digest of it, in runs of ``size``; the last may be short.
+
+    The place of a row comes from counts of the ranges before it, so no task sees more than its own range.
+    """
+    key = F.col("sample_id") if seed is None else tie_digest(seed, F.col("sample_id"))
+    keyed = samples.withColumn("_order", key).repartitionByRange("_order", "sample_id").sortWithinPartitions("_order", "sample_id")
+    numbered = materialize(keyed.withColumn("_place", F.monotonically_increasing_id()), "ordered").withColumn("_range", F.shiftright("_place", 33))
+    sizes = sorted((r._range, r.n) for r in numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for number, n in sizes:
+        starts.append((number, before))
+        before += n
+    spark = samples.sparkSession
+    offsets = spark.createDataFrame(starts, "_range bigint, _start bigint")  # one row per task
+    place = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(offsets), "_range").withColumn("batch", F.floor(place / size).cast("bigint")).drop("_order", "_place", "_range", "_start")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sutur.functions.fingerprints import dataset_fingerprint
+from sutur.functions.paths import portable_path
 from sutur.functions.text import characters, code_point_label, is_blank, issue_codes, nfc, words
 from sutur.session import materialize
 
@@ -107,6 +109,52 @@ def dimension_issues(samples: DataFrame) -> DataFrame:
     return samples.where(odd).select(F.lit("unusual_dimensions").alias("code"), "sample_id")
 
 
+def with_images(samples: DataFrame, files: DataFrame) -> DataFrame:
+    """Samples with what is known of their image: (image_width, image_height, digest, image_issue).
+
+    files  path, image_width, image_height, digest, issue - one row per file below the dataset root
+
+    A path without a portable form leads outside the root or nowhere (``invalid_path``); a portable
+    one without a file is ``missing_image``. Only sound images have a size and a digest.
+    """
+    path = portable_path(F.col("image_path"))
+    known = files.select(F.col("path").alias("_path"), "image_width", "image_height", F.when(F.col("issue").isNull(), F.col("digest")).alias("digest"), "issue", F.lit(True).alias("_there"))
+    joined = samples.drop("image_width", "image_height", "digest", "image_issue").withColumn("_path", path).join(known.hint("merge"), "_path", "left")
+    issue = F.when(F.col("_path").isNull(), "invalid_path").when(F.col("_there").isNull(), "missing_image").otherwise(F.col("issue"))
+    return joined.withColumn("image_issue", issue).drop("_path", "_there", "issue")
+
+
+def image_issues(samples: DataFrame) -> DataFrame:
+    """(code, sample_id) of images that are missing, misplaced, too large, of another kind, of no size or broken."""
+    return samples.where("image_issue is not null").select(F.col("image_issue").alias("code"), "sample_id")
+
+
+def image_statistics(samples: DataFrame) -> DataFrame:
+    """One row: summaries of width and height of the sound images, and samples whose image fails."""
+    return samples.agg(*summary(F.col("image_width"), "width"), *summary(F.col("image_height"), "height"), F.countDistinct(F.when(F.col("image_issue").isin(*IMAGE_ERRORS), F.col("sample_id"))).alias("failing_images"))
+
+
+def validate_dataset(samples: DataFrame, files: DataFrame | None = None, vocabulary: DataFrame | None = None) -> dict[str, DataFrame | str | bool]:
+    """The whole report: issues, statistics, character frequencies, dataset fingerprint, and whether there is no error.
+
+    With ``files`` (see with_images) the images are looked at too.
+    """
+    placed = materialize(samples if files is None else with_images(samples, files), "validated")
+    issues = validation_report(placed, vocabulary, None if files is None else "digest")
+    statistics = dataset_statistics(placed)
+    if files is not None:
+        issues = issues.unionByName(with_messages(image_issues(placed))).orderBy("severity", "code", "sample_id", "message")
+        statistics = statistics.join(F.broadcast(image_statistics(placed)))
+    issues = materialize(issues, "issues").orderBy("severity", "code", "sample_id", "message")
+    return {
+        "issues": issues,
+        "statistics": statistics,
+        "character_frequency": character_frequency(placed),
+        "fingerprint": dataset_fingerprint(placed),
+        "valid": issues.where("severity = 'error'").isEmpty(),
+    }
+
+
 def with_messages(issues: DataFrame) -> DataFrame:
     """Adds severity and message to (code, sample_id) rows."""
     table = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])

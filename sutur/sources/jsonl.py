@@ -147,6 +147,11 @@ def write_split_manifests(split: DataFrame, path: str, overwrite: bool = False)
     ordered.drop("sample_id").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("partition").text(path)
 
 
+def write_split_metadata(spark: SparkSession, metadata: dict[str, Any], path: str, overwrite: bool = False) -> None:
+    """The record of a split (operators.splitting.split_metadata) as canonical JSON beside its manifests."""
+    write_json_object(spark, metadata, path, overwrite)
+
+
 def read_json_object(spark: SparkSession, path: str, error: type[SuturError] = SuturError) -> dict[str, Any]:
     """One small strict JSON object, read on the driver through Spark's file systems."""
     rows = spark.read.text(path, wholetext=True).limit(2).collect()
