@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sutur.functions.edits import character_error_rate, total_edits
 from sutur.functions.fingerprints import dataset_fingerprint, group_fingerprints, sample_line
 from sutur.functions.numbers import derived_seed, file_kind, resized_width, width_to_timesteps
 from sutur.functions.paths import portable_path
@@ -95,6 +96,13 @@ def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("sample_id", F.array_join(F.transform("indices", lambda i: i.cast("string")), " ").alias("indices"))
 
 
+def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with more than one text: digest, texts and samples."""
+    found = digested_samples(spark, sf_dir).where("digest is not null").select("digest", "text", "sample_id")
+    per_text = found.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("samples"))
+    return per_text.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("samples").alias("samples")).where("texts > 1")
+
+
 def q14b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validation report of all deliveries with the image rules; a file is looked up by the portable form of its path."""
     manifest = table(spark, sf_dir, "manifest")
@@ -119,6 +127,12 @@ def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found,)], "fingerprint string")
 
 
+def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances without the split by kind; they stay in the JVM."""
+    text, other = F.col("text"), hypothesis(F.col("text"))
+    return samples(spark, sf_dir).select("sample_id", F.levenshtein(text, other).alias("distance"), character_error_rate(text, other).alias("rate"))
+
+
 def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
     references = samples(spark, sf_dir).select("sample_id")
     predictions = table(spark, sf_dir, "review_decisions").select("sample_id").where("sample_id is not null").distinct()
@@ -133,6 +147,13 @@ def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_differences(by_path(True), by_path(False))
 
 
+def q39b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as first recorded against those that are still there, by path: gone, new, of another size or hash."""
+    files = table(spark, sf_dir, "artifact_manifest").where("path is not null")
+    newest = lambda rows: rows.groupBy("path").agg(F.max_by(F.struct("size_bytes", "sha256"), F.struct("added_at", "sha256")).alias("f")).select("path", "f.*")
+    return manifest_differences(newest(files.where("added_at < timestamp_ntz '2024-07-01 00:00:00'")), newest(files.where("deleted_at is null")))
+
+
 def q40(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return rows.select("doc_id", F.length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"), file_kind(F.col("content")).alias("kind"))
@@ -191,6 +212,12 @@ def q56(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("user_id", F.round("loss", 6).alias("loss"))
 
 
+def q56b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean price of a return flag, weighted by quantity: batches of different sizes."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("loss"), F.col("l_quantity").cast("double").alias("samples"))
+    return evaluation.weighted_mean_loss(rows, ["l_returnflag"]).select("l_returnflag", F.round("loss", 4).alias("loss"))
+
+
 def queries() -> dict:
     c = F.col
     return {
@@ -204,8 +231,10 @@ def queries() -> dict:
         "q08_character_frequency": lambda s, d: validation.character_frequency(table(s, d, "documents")),
         "q09_vocabulary": _vocabularies,
         "q10_unseen_characters": q10,
+        "q10b_unseen_in_documents": lambda s, d: vocabulary.unseen_characters(table(s, d, "documents"), vocabulary.build_vocabulary(samples(s, d))),
         "q11_encode": q11,
         "q12_duplicates": lambda s, d: validation.duplicate_issues(digested_samples(s, d)).groupBy("code", "sample_id").agg(F.count(F.lit(1)).alias("n")),
+        "q13_conflicts": q13,
         "q14_validation_report": lambda s, d: validation.with_messages(
             validation.text_issues(table(s, d, "manifest")).unionByName(validation.duplicate_issues(table(s, d, "manifest"), None))
         ),
@@ -223,6 +252,8 @@ def queries() -> dict:
         "q20_exact_match": lambda s, d: samples(s, d).agg(
             F.count(F.lit(1)).alias("samples"), F.count_if(c("text") == hypothesis(c("text"))).alias("exact")
         ),
+        "q21_edit_distances": q21,
+        "q22_word_error_rates": lambda s, d: _scored(s, d).select("sample_id", total_edits(c("word_edits")).alias("edits"), c("word_edits.reference_length").alias("words"), "word_error_rate"),
         "q23_worst_samples": lambda s, d: evaluation.worst_samples(_scored(s, d)).select("sample_id", "character_error_rate"),
         "q24_confusions": lambda s, d: evaluation.confusions(_scored(s, d)),
         "q24b_frequencies": lambda s, d: evaluation.frequencies(
@@ -230,6 +261,7 @@ def queries() -> dict:
         ),
         "q25_key_totality": q25,
         "q39_artifact_differences": q39,
+        "q39b_changed_artifacts": q39b,
         "q40_file_kinds": q40,
         "q41_portable_paths": q41,
         "q42_derived_seeds": q42,
@@ -242,6 +274,7 @@ def queries() -> dict:
         "q53_synthetic_lines": q53,
         "q54_composed_texts": lambda s, d: composed_texts(s, table(s, d, "nation").count(), _TEMPLATES),
         "q56_weighted_loss": q56,
+        "q56b_weighted_by_size": q56b,
     }
 
 
@@ -324,6 +357,40 @@ def _stats(value: str, name: str) -> str:
     return f"min({value}) as {name}_min, median({value})::double as {name}_median, max({value}) as {name}_max"
 
 
+def _fold(a: str, b: str, steps: bool = False) -> str:
+    """Distance table of two lists, row after row: costs ``c``, and along the preferred way substitutions, or all steps as text, ``s``.
+
+    A row is the running minimum of what match, substitution and deletion give; cells that only an
+    insertion reaches take what the last other cell to their left has.
+    """
+    same = f"({a}[x.i] <> {b}[j])::bigint"
+    columns = f"range(0, len({b}) + 1)"
+    if steps:
+        step = lambda op, r, h: f"('{op}' || chr(1) || {r} || chr(1) || {h} || chr(2))"
+        diagonal = f"p.s[j] || case when {a}[x.i] = {b}[j] then '' else {step('substitution', f'{a}[x.i]', f'{b}[j]')} end"
+        above, first = f"p.s[j + 1] || {step('deletion', f'{a}[x.i]', chr(39) * 2)}", f"p.s[1] || {step('deletion', f'{a}[x.i]', chr(39) * 2)}"
+        start = f"list_transform({columns}, lambda j: array_to_string(list_transform(list_slice({b}, 1, j), lambda y: {step('insertion', chr(39) * 2, 'y')}), ''))"
+        last = f"list_filter(range(1, j + 2), lambda z: v[z] is not null)[-1]"
+        chosen = f"list_transform([{last}], lambda z: v[z] || substr(p0[j + 1], length(p0[z]) + 1))[1]"
+        kind = "varchar[]"
+    else:
+        diagonal, above, first = f"p.s[j] + {same}", "p.s[j + 1]", "0"
+        start, kind = f"list_transform({columns}, lambda j: 0::bigint)", "bigint[]"
+        chosen = "list_filter(list_slice(v, 1, j + 1), lambda z: z is not null)[-1]"
+    return f"""list_transform([{start}], lambda p0: list_reduce(list_transform(range(1, len({a}) + 1), lambda i: {{'i': i, 'c': cast([] as bigint[]), 's': cast([] as {kind})}}),
+  lambda p, x: list_transform([list_transform({columns}, lambda j: case when j = 0 then x.i else least(p.c[j + 1] + 1, p.c[j] + {same}) end)],
+    lambda t: list_transform([list_transform({columns}, lambda j: list_min(list_transform(list_slice(t, 1, j + 1), lambda v, k: v - k)) + j + 1)],
+      lambda c: list_transform([list_transform({columns}, lambda j: case when j = 0 then {first} when p.c[j] + {same} = c[j + 1] then {diagonal} when p.c[j + 1] + 1 = c[j + 1] then {above} end)],
+        lambda v: {{'i': x.i, 'c': c, 's': list_transform({columns}, lambda j: {chosen})}})[1])[1])[1],
+  {{'i': 0::bigint, 'c': {columns}, 's': p0}}))[1]"""
+
+
+def _edits(name: str, folded: str, n: str, m: str) -> str:
+    """The four counts of an alignment as columns, from its cost and its substitutions."""
+    cost, subs = f"{folded}.c[-1]", f"{folded}.s[-1]"
+    return f"{subs}::int as {name}_s, (({cost} - {subs} + {n} - {m}) // 2)::int as {name}_d, ({cost} - {subs} - ({cost} - {subs} + {n} - {m}) // 2)::int as {name}_i, {n}::int as {name}_n"
+
+
 def _review(keep: str) -> str:
     form = "regexp_matches(lower(source_dataset_fingerprint), '^[0-9a-f]{64}$')"
     return _with(
@@ -350,6 +417,16 @@ def oracle_sql() -> dict:
     kind = r"""case when starts_with(regexp_replace(substr(h, 1, 2048), '^(00|09|0A|0C|0D|20)+', ''), '255044462D') then 'pdf'
       when starts_with(h, '89504E470D0A1A0A') then 'png' when starts_with(h, 'FFD8FF') then 'jpeg' end"""
     chars = f"select unnest({_CHARS}) as ch from"
+    split = lambda text, by: f"list_filter(string_split({text}, '{by}'), lambda c: c <> '')"
+    cut = f"""{_SAMPLES}, pairs as (select sample_id, text as r, {_hypothesis_sql("text")} as h from samples), cut as (
+      select sample_id, r = h as same, {split("r", "")} as a, {split("h", "")} as b, {split("r", " ")} as w, {split("h", " ")} as v from pairs)"""
+    scored = f"""{cut}, scored as (
+      select sample_id, false as exact_match, {_edits("c", "f", "len(a)", "len(b)")}, {_edits("w", "g", "len(w)", "len(v)")} from (select *, {_fold("a", "b")} as f, {_fold("w", "v")} as g from cut where not same)
+      union all select sample_id, true, 0, 0, 0, len(a)::int, 0, 0, 0, len(w)::int from cut where same)"""
+    counts = lambda n: f"struct_pack(substitutions := {n}_s, deletions := {n}_d, insertions := {n}_i, reference_length := {n}_n)"
+    rate = lambda n: f"case when {n}_n > 0 then ({n}_s + {n}_d + {n}_i)::double / {n}_n end"
+    sums = lambda n, name: ", ".join(f"coalesce(sum({n}_{x}), 0)::bigint as {name}_{y}" for x, y in zip("sdin", ("substitutions", "deletions", "insertions", "reference_length")))
+    whole = lambda n: f"case when sum({n}_n) > 0 then sum({n}_s + {n}_d + {n}_i)::double / sum({n}_n) end"
     word_list = rf"list_filter(regexp_split_to_array(text, '[{_B}]+'), lambda w: w <> '')"
     return {
         "q01_split_counts": _with(
@@ -380,6 +457,16 @@ def oracle_sql() -> dict:
                 where ch not in ({chars} samples s join assigned a using (document_id) where a."partition" = 'train')""",
             True,
         ),
+        "q10b_unseen_in_documents": _with(_SAMPLES, f"select distinct ch from ({chars} documents) where ch not in ({chars} samples)"),
+        "q13_conflicts": _with(
+            _DIGESTED, "select digest, count(distinct text) as texts, count(*)::bigint as samples from digested where digest is not null group by 1 having count(distinct text) > 1"
+        ),
+        "q39b_changed_artifacts": """with r as (select path, arg_max(struct_pack(z := size_bytes, h := sha256), (added_at, sha256)) as a from artifact_manifest
+              where path is not null and added_at < timestamp '2024-07-01 00:00:00' group by path),
+            b as (select path, arg_max(struct_pack(z := size_bytes, h := sha256), (added_at, sha256)) as b from artifact_manifest where path is not null and deleted_at is null group by path)
+            select * from (select path, case when r.path is null then 'extra' when b.path is null then 'missing' when a.z is not null and a.z <> b.z then 'size' when a.h <> b.h then 'sha256' end as issue
+              from r full join b using (path)) where issue is not null""",
+        "q56b_weighted_by_size": """select l_returnflag, round(sum(l_extendedprice::double * l_quantity::double) / sum(l_quantity::double), 4) as loss from lineitem group by 1""",
         "q11_encode": _with(
             f"{_SAMPLES}, vocab as (select row_number() over (order by ch) as idx, ch from (select distinct ch from ({chars} samples))), "
             f"pieces as (select sample_id, unnest({_CHARS}) as ch, generate_subscripts({_CHARS}, 1) as p from samples)",
@@ -411,6 +498,26 @@ def oracle_sql() -> dict:
             _SAMPLES, f"select document_id, sha256(string_agg({line} || chr(10), '' order by sample_id)) as fingerprint, count(*) as samples from samples group by 1"
         ),
         "q17c_sample_lines": _with(_SAMPLES, f"select sample_id, {line} as line from samples"),
+        "q18_scores": _with(
+            scored,
+            f"select sample_id, {counts('c')} as character_edits, {counts('w')} as word_edits, {rate('c')} as character_error_rate, {rate('w')} as word_error_rate, exact_match from scored",
+        ),
+        "q19_corpus_scores": _with(
+            scored,
+            f"""select count(*) as samples, count(*) filter (exact_match) as exact_matches, {sums("c", "character")}, {sums("w", "word")}, {whole("c")} as character_error_rate,
+                  {whole("w")} as word_error_rate, case when count(*) > 0 then count(*) filter (exact_match)::double / count(*) end as exact_match_rate from scored""",
+        ),
+        "q21_edit_distances": _with(
+            scored, f"select sample_id, (c_s + c_d + c_i)::int as distance, {rate('c')} as rate from scored"
+        ),
+        "q22_word_error_rates": _with(scored, f"select sample_id, (w_s + w_d + w_i)::int as edits, w_n as words, {rate('w')} as word_error_rate from scored"),
+        "q23_worst_samples": _with(
+            scored, f"select sample_id, {rate('c')} as character_error_rate from scored order by character_error_rate desc nulls last, c_s + c_d + c_i desc, sample_id limit 10"
+        ),
+        "q24_confusions": _with(
+            f"""{cut}, steps as (select unnest(list_filter(string_split(({_fold("a", "b", True)}).s[-1], chr(2)), lambda x: x <> '')) as x from cut where not same)""",
+            """select split_part(x, chr(1), 1) as op, nullif(split_part(x, chr(1), 2), '') as reference, nullif(split_part(x, chr(1), 3), '') as hypothesis, count(*) as n from steps group by all""",
+        ),
         "q20_exact_match": _with(_SAMPLES, f"select count(*) as samples, count(*) filter (text = {_hypothesis_sql('text')}) as exact from samples"),
         "q24b_frequencies": _with(
             _SAMPLES,

@@ -130,4 +130,23 @@ def queries() -> dict:
         "p1_found": lambda spark, sf_dir: boxed_children(*_tables(spark, sf_dir)),
         "p1_children": lambda spark, sf_dir: nested_children(*_tables(spark, sf_dir)),
         "p1_parents": lambda spark, sf_dir: nested_parents(*_tables(spark, sf_dir)),
+        "p1_children_of_tables": lambda spark, sf_dir: nested_children(*_tables(spark, sf_dir)).where("tbl <> 'raw_records'"),
+        "p1_parents_of_tables": lambda spark, sf_dir: nested_parents(*_tables(spark, sf_dir)).where("tbl <> 'raw_records'"),
+    }
+
+
+def oracle_sql() -> dict:
+    """The two typed tables; payloads in many forms of JSON are beyond SQL and tested against counted cases."""
+    def children(tbl: str, column: str, child: str, box: str, text: str) -> str:
+        numbers = ", ".join(f"l.{n}::bigint as {n}" for n in ("column_index", "reading_order_index"))
+        sides = ", ".join(f"l.{box}.{n}::bigint as {n}" for n in _BOX)
+        return f"""select '{tbl}' as tbl, record_id, 0 as parent_pos, (pos - 1)::int as child_pos, l.{child} as child_id, {text} as text, l.region_kind as region_kind, {numbers}, {sides}
+          from (select record_id, unnest({column}) as l, generate_subscripts({column}, 1) as pos from {tbl})"""
+
+    parents = "0 as parent_pos, page_id, layout_family, {} as image_path, expected_blank, expected_line_count::bigint as expected_line_count"
+    return {
+        "p1_children_of_tables": children("page_ground", "lines", "line_id", "output_box", "l.text")
+        + " union all " + children("vision_cases", "regions", "region_id", "bounding_box", "null::varchar"),
+        "p1_parents_of_tables": f"""select 'page_ground' as tbl, record_id, {parents.format("image_path")} from page_ground
+          union all select 'vision_cases', record_id, {parents.format("null::varchar")} from vision_cases""",
     }

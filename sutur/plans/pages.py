@@ -85,6 +85,13 @@ def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.text_scale(_components(spark, sf_dir), "record_id", F.col("page_area"))
 
 
+def q30b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text scale beside the page's area and the lines it leaves out as too large."""
+    found = _components(spark, sf_dir)
+    sizes = found.groupBy("record_id").agg(F.max("page_area").alias("page_area"), F.count_if(F.col("area") > F.col("page_area") * 0.05).alias("oversized"))
+    return regions.text_scale(found, "record_id", F.col("page_area")).join(sizes, "record_id").select("record_id", "text_scale", "page_area", "oversized")
+
+
 def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Low boxes attach to the nearest tall one of their page."""
     found = _components(spark, sf_dir)
@@ -100,6 +107,13 @@ def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.order_boxes(boxes)
 
 
+def q33b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading order of the lines of every page as if it had one column: anchored bands, right to left inside."""
+    found = _components(spark, sf_dir)
+    boxes = found.select(F.col("record_id").cast("string").alias("page_id"), F.col("label").alias("candidate"), "box.*", F.lit(80.0).alias("text_scale"))
+    return layout.order_boxes(boxes, columns=False).select("page_id", "candidate", "reading_order_index")
+
+
 def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines(spark, sf_dir)
     page = found.select(
@@ -158,11 +172,14 @@ def queries() -> dict:
         "q27_greedy_matches": q27,
         "q28_corpus_result": q28,
         "q28b_page_results": lambda s, d: _results(s, d).select("record_id", "expected", "detected", "matched", "exact_order", "exact_layout", F.array_join("failures", ",").alias("failures")),
+        "q28c_page_counts": lambda s, d: _results(s, d).select("record_id", "expected", "detected", "matched", F.array_contains("failures", "line_count").alias("miscounted")),
         "q29_page_unions": q29,
         "q30_text_scale": q30,
+        "q30b_text_scale_and_area": q30b,
         "q31_nearest_groups": q31,
         "q32_free_runs": lambda s, d: regions.free_runs(_components(s, d), "record_id"),
         "q33_reading_order": q33,
+        "q33b_band_order": q33b,
         "q34_line_groups": q34,
         "q35_page_texts": lambda s, d: q35(s, d, False),
         "q35b_document_texts": lambda s, d: q35(s, d, True),
@@ -199,6 +216,10 @@ def _iou(a: str, b: str) -> str:
 _PAIRS = f"""{_LINES}, pairs as (
   select e.record_id, e.pos as ei, d.pos as di, {_iou("e.a", "d.b")} as iou from lines e join lines d on e.record_id = d.record_id
 )"""
+_PLACED = "select record_id, (pos - 1)::int as pos, l from (select record_id, unnest(lines) as l, generate_subscripts(lines, 1) as pos from page_ground)"
+_EACH_SIDE = f"""e as (select record_id, pos, l.composition_box as a from ({_PLACED}) where {_SOUND.format("l.composition_box")}
+), d as (select record_id, pos, l.output_box as b from ({_PLACED}) where {_SOUND.format("l.output_box")}
+), pairs as (select e.record_id, e.pos as ei, d.pos as di, {_iou("e.a", "d.b")} as iou from e join d on e.record_id = d.record_id)"""
 _GREEDY = """{pairs}, good as (
   select record_id, ei, di, iou, row_number() over (partition by record_id order by iou desc, ei, di) as k from pairs where iou >= {threshold}
 ), fold(record_id, k, used_e, used_d, taken, ei, di, iou) as (
@@ -247,6 +268,32 @@ def oracle_sql() -> dict:
                round(sum(matched)::double / nullif(sum(n), 0), 9) as precision, round(sum(matched)::double / nullif(sum(n), 0), 9) as recall,
                round(2 * (sum(matched)::double / nullif(sum(n), 0)) * (sum(matched)::double / nullif(sum(n), 0)) / nullif(2 * sum(matched)::double / nullif(sum(n), 0), 0), 9) as f1,
                round(sum(s) / nullif(sum(matched), 0), 9) as mean_iou from pages""",
+        "q28c_page_counts": "with recursive " + _GREEDY.format(pairs=_EACH_SIDE, threshold=0.75) + """
+            select p.record_id, coalesce(e.n, 0)::bigint as expected, coalesce(d.n, 0)::bigint as detected, coalesce(m.n, 0)::bigint as matched, coalesce(e.n, 0) <> coalesce(d.n, 0) as miscounted
+            from page_ground p left join (select record_id, count(*) as n from e group by 1) e using (record_id) left join (select record_id, count(*) as n from d group by 1) d using (record_id)
+              left join (select record_id, count(*) as n from matches group by 1) m using (record_id)""",
+        "q30b_text_scale_and_area": f"""with {_LINES}, comps as (
+              select record_id, pos as label, b as box, b.width::bigint * b.height as area, case when dimensions.width > 0 and dimensions.height > 0 then dimensions.width::bigint * dimensions.height end as page from lines
+            ), usable as (select * from (select *, min(coalesce(area > page * 0.05, false)::int) over (partition by record_id) = 1 as all_large from comps) where all_large or not coalesce(area > page * 0.05, false)
+            ), run as (select record_id, box.height as h, sum(area) over (partition by record_id order by box.height, label) as r, sum(area) over (partition by record_id) / 2.0 as half from usable
+            ), scale as (select record_id, arg_min(h, r)::double as text_scale from run where r >= half group by 1)
+            select record_id, text_scale, page_area, oversized from scale join (
+              select record_id, max(page) as page_area, count(*) filter (area > page * 0.05) as oversized from comps group by 1) using (record_id)""",
+        "q33b_band_order": f"""with recursive {_LINES}, c as (
+              select record_id, pos, b, row_number() over (partition by record_id order by b.y, -(b.x + b.width), pos) as k from lines
+            ), band(record_id, k, anchor, number) as (
+              select record_id, 1::bigint, b.y, 0 from c where k = 1
+              union all
+              select c.record_id, c.k, case when c.b.y > f.anchor + 20 then c.b.y else f.anchor end, f.number + (c.b.y > f.anchor + 20)::int from band f join c on c.record_id = f.record_id and c.k = f.k + 1
+            ) select record_id::varchar as page_id, pos as candidate, (row_number() over (partition by record_id order by number, -(b.x + b.width), b.y, b.x, pos) - 1)::int as reading_order_index
+            from c join band using (record_id, k)""",
+        "q45_box_changes": f"""with {_LINES}, p as (select record_id, pos, b, dimensions.width as w, dimensions.height as h from lines where dimensions.width > 0 and dimensions.height > 0
+            ), g as (select record_id, pos, greatest(b.x - 25, 0) as px, greatest(b.y - 25, 0) as py, least(b.x + b.width + 25, w) as pr, least(b.y + b.height + 25, h) as pb,
+              b.x as cx, b.y as cy, least(b.x + b.width, w // 2) as cr, least(b.y + b.height, h // 2) as cb,
+              greatest(0, 1000 - b.y - b.height) as rx, greatest(0, b.x) as ry, least(w, 1000 - b.y) as rr, least(h, b.x + b.width) as rb from p)
+            select record_id, pos, case when pr > px and pb > py then px end as px, case when pr > px and pb > py then pr - px end as pw, case when pr > px and pb > py then pb - py end as ph,
+              case when cr > cx and cb > cy then cr - cx end as cw, case when cr > cx and cb > cy then cb - cy end as ch,
+              case when rr > rx and rb > ry then rx end as rx, case when rr > rx and rb > ry then ry end as ry, case when rr > rx and rb > ry then rr - rx end as rw, case when rr > rx and rb > ry then rb - ry end as rh from g""",
         "q29_page_unions": f"""with {_LINES} select record_id, min(b.x) as x, min(b.y) as y, max(b.x + b.width) - min(b.x) as width, max(b.y + b.height) - min(b.y) as height,
               count(*) as regions from lines group by 1""",
         "q30_text_scale": f"""with {comps}, usable as (select * from (select *, min((area > 50000)::int) over (partition by record_id) = 1 as all_large from comps) where all_large or area <= 50000
