@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -25,16 +26,29 @@ class Recognizer(Protocol):
     def __call__(self, lines: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]: ...
 
 
+_LOADED: dict[str, Recognizer] = {}
+
+
+def _loaded(token: str, load: Callable[[], Recognizer]) -> Recognizer:
+    """The model of a call, loaded once per worker process; only the latest is kept."""
+    if token not in _LOADED:
+        _LOADED.clear()
+        _LOADED[token] = load()
+    return _LOADED[token]
+
+
 def recognize_lines(lines: DataFrame, load: Callable[[], Recognizer], batch_size: int = 16) -> DataFrame:
     """Adds ``logits`` and ``frames`` to rows with ``height int, width int, pixels binary`` (grey line images).
 
-    ``load`` runs once per task; batches keep the order of rows. Every line must come back.
+    ``load`` runs once per worker process; batches keep the order of rows. Every line must come back.
     """
     keep = [f for f in lines.schema.fields if f.name != "pixels"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", " + LOGIT_SCHEMA
 
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
+        model = _loaded(token, load)
         for rows in batches:
             for begin in range(0, rows.num_rows, batch_size):
                 part = rows.slice(begin, batch_size)

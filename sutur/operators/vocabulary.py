@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from sutur.errors import VocabularyError
 from sutur.functions.fingerprints import canonical_json
@@ -38,16 +41,29 @@ def unseen_characters(samples: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return distinct_characters(samples).join(F.broadcast(vocabulary.select("ch")), "ch", "left_anti").orderBy("ch")
 
 
-def _lookup(vocabulary: list[str]):
-    pairs = [F.lit(x) for n, ch in enumerate(vocabulary, 1) for x in (ch, n)]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
-
-
 def encode_texts(samples: DataFrame, vocabulary: list[str], strict: bool = True) -> DataFrame:
-    """Adds ``indices array<int>``. A text with an unknown character has null, or fails if strict."""
-    from sutur.functions.sequences import encode
-
-    out = samples.withColumn("indices", encode(F.col("text"), _lookup(vocabulary)))
+    """Adds ``indices array<int>``. A text with an unknown character has null, or fails if strict.
+
+    The code points of the vocabulary are broadcast once, at most four bytes for every code point there
+    is, and looked up by binary search for all characters of a batch together.
+    """
+    order = sorted(range(len(vocabulary)), key=lambda i: ord(vocabulary[i]))
+    points = np.array([ord(vocabulary[i]) for i in order], dtype=np.uint32)
+    shared = samples.sparkSession.sparkContext.broadcast((points, np.array(order, dtype=np.int32) + 1))
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def lookup(texts: pd.Series) -> pd.Series:
+        known, index = shared.value
+        lengths = [len(t) if t is not None else 0 for t in texts]
+        codes = np.frombuffer("".join(t for t in texts if t is not None).encode("utf-32-le"), dtype=np.uint32)
+        place = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
+        sound = known[place] == codes if len(known) else np.zeros(len(codes), dtype=bool)
+        found = index[place] if len(known) else codes
+        ends = np.cumsum(lengths)
+        rows = [(e - n, e) for n, e in zip(lengths, ends)]
+        return pd.Series([None if t is None or not sound[a:b].all() else found[a:b].tolist() for t, (a, b) in zip(texts, rows)], dtype=object)
+
+    out = samples.withColumn("indices", lookup("text"))
     if strict:
         from sutur.guards import require_all
 

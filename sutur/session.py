@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sutur.errors import ConfigurationError
 
 _SHIPPED: set[str] = set()
 
@@ -41,13 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this machine is used and set for the session.
+    tests, a temporary folder of this machine is used and set for the session; on a cluster it fails.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context.get() if context.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "sutur-shared-" + uuid.uuid4().hex)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sutur.errors import ManifestError, ReviewError, SuturError, VocabularyError
@@ -87,16 +87,36 @@ def _records(spark: SparkSession, path: str, ddl: str, required: tuple[str, ...]
                 rows.append({"line": number, "issue": issue, **{n: record.get(n) for n in fields}})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    # Partition number and place in it: lines keep their order without counting them all first.
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
-    return lines.mapInArrow(parse, f"line bigint, issue string, {ddl}")
+    numbered = _numbered_lines(spark, path).where(F.trim("value") != "")
+    return numbered.mapInArrow(parse, f"line bigint, issue string, {ddl}")
 
 
-def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Samples with the number of their line and an issue code (null if sound); blank lines are skipped.
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): every line with its number in its file, from 1 on, blank lines counted.
 
-    Line numbers rise with the place in the file but are not dense.
+    A task numbers the lines of a block of a file as they come; the lines of the blocks before it are
+    added from one count per block.
     """
+    spark_files = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            places = []
+            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                seen[key] = seen.get(key, 0) + 1
+                places.append(seen[key])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["value", "file", "start", "place"])
+
+    placed = spark_files.mapInArrow(number, "value string, file string, start bigint, place bigint")
+    blocks = spark_files.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("file", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return placed.join(before, ["file", "start"]).select((F.col("place") + F.col("before")).alias("line"), "value")
+
+
+def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Samples with the number of their line in its file and an issue code (null if sound); blank lines are skipped, not renumbered."""
     rows = _records(spark, path, SAMPLE, SAMPLE_REQUIRED)
     contract = F.get(contract_issues(), F.lit(0))
     return rows.withColumn("issue", F.coalesce("issue", contract))

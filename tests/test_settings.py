@@ -66,3 +66,19 @@ def test_files_of_equal_name_and_broken_images(spark, tmp_path):
     assert [(r.page_id, r.issue) for r in pixels.scan_images(spark, str(tmp_path / "images")).select("page_id", "issue").collect()] == [("broken", "unreadable_image")]
     with pytest.raises(DocumentError):
         pixels.read_images(spark, str(tmp_path / "images"))
+
+
+def test_line_numbers_are_those_of_the_file(spark, tmp_path):
+    from sutur.sources import jsonl
+
+    good = '{"schema_version":1,"sample_id":"s%d","image_path":"a.png","text":"t","document_id":"d"}'
+    (tmp_path / "m.jsonl").write_text("\n".join(["", good % 1, "", "no json", good % 2, *[good % i for i in range(3, 400)]]) + "\n", encoding="utf-8")
+    whole = {r.line: (r.sample_id, r.issue) for r in jsonl.scan_manifest(spark, str(tmp_path / "m.jsonl")).collect()}
+    assert whole[2] == ("s1", None) and whole[4] == (None, "malformed_json") and whole[5] == ("s2", None) and whole[402] == ("s399", None) and 1 not in whole
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        cut = {r.line: (r.sample_id, r.issue) for r in jsonl.scan_manifest(spark, str(tmp_path / "m.jsonl")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert cut == whole
