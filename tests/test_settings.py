@@ -82,3 +82,27 @@ def test_line_numbers_are_those_of_the_file(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert cut == whole
+
+
+def test_sql_counterparts_without_known_differences(spark, sf_dir):
+    """As test_sql_counterparts, for all queries but the three whose SQL is known to do less (see README)."""
+    import os
+    from collections import Counter
+
+    import duckdb
+    from test_sources import _plain
+
+    from sutur.plans import catalogue
+
+    con = duckdb.connect()
+    for name in os.listdir(sf_dir):
+        con.sql(f"create view \"{name.split('.')[0]}\" as select * from '{sf_dir}/{name}'")
+    queries, sql = catalogue.queries(), catalogue.oracle_sql()
+    for name in sorted(set(sql) - {"q28_corpus_result", "q28b_page_results", "q30_text_scale"}):
+        df = queries[name](spark, sf_dir)
+        columns = sorted(df.columns)
+        rows = Counter(tuple(_plain(r[c]) for c in columns) for r in df.collect())
+        found = con.sql(sql[name])
+        names = [d[0] for d in found.description]
+        assert sorted(names) == columns, name
+        assert rows == Counter(tuple(_plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), name
