@@ -34,6 +34,21 @@ def is_alignable(target: Column, frames: Column) -> Column:
     return frames >= minimum_timesteps(target)
 
 
+def alignment_issue(target: Column, frames: Column, classes: int, most_frames: int | None = None) -> Column:
+    """Why a target of class indices can't be aligned with frames, or null: ``empty_target``, ``no_frames``, ``too_many_frames``, ``blank_in_target``, ``unknown_class``, ``too_few_frames``.
+
+    Malformed input comes first, in this order; nulls count as empty. A row without an issue is feasible.
+    """
+    return (
+        F.when(F.coalesce(F.size(target), F.lit(0)) <= 0, "empty_target")
+        .when(F.coalesce(frames, F.lit(0)) <= 0, "no_frames")
+        .when(F.lit(most_frames is not None) & (frames > (most_frames or 0)), "too_many_frames")
+        .when(F.exists(target, lambda c: c.isNull() | (c <= BLANK)), "blank_in_target")
+        .when(F.exists(target, lambda c: c >= classes), "unknown_class")
+        .when(~is_alignable(target, frames), "too_few_frames")
+    )
+
+
 def decode(indices: Column, vocabulary: Column) -> Column:
     """Text of 1-based class indices by an array of characters; an unknown index fails."""
     found = F.transform(indices, lambda i: F.element_at(vocabulary, i))

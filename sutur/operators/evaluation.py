@@ -52,6 +52,25 @@ def evaluate_predictions(references: DataFrame, predictions: DataFrame) -> DataF
     return score(pairs)
 
 
+def changed_scores(recorded: DataFrame) -> DataFrame:
+    """(sample_id, field) where a recorded score is not what its texts give.
+
+    recorded  sample_id, reference, hypothesis, and of what ``score`` gives any columns; rates are
+    compared exactly, as they are quotients of whole numbers, and a null is a value
+    """
+    fields = [n for n in ("character_edits", "word_edits", "character_error_rate", "word_error_rate", "exact_match") if n in recorded.columns]
+    again = score(recorded.select("sample_id", "reference", "hypothesis")).select("sample_id", *[F.col(n).alias(f"_{n}") for n in fields])
+    differing = F.filter(F.array(*[F.when(~F.col(n).eqNullSafe(F.col(f"_{n}")), F.lit(n)) for n in fields]), lambda x: x.isNotNull())
+    return recorded.join(again.hint("merge"), "sample_id").select("sample_id", F.explode(differing).alias("field"))
+
+
+def verify_scores(recorded: DataFrame) -> int:
+    """Number of recorded samples; fails if an id repeats or a recorded score is not what its texts give."""
+    require_unique(recorded, ["sample_id"], EvaluationError, "duplicate sample")
+    require_empty(changed_scores(recorded), EvaluationError, "a recorded score does not come out again")
+    return recorded.count()
+
+
 def corpus_scores(scored: DataFrame) -> DataFrame:
     """One row: summed edits and lengths, corpus rates (sums over sums), exact matches."""
     sums = []

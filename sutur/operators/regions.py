@@ -149,3 +149,27 @@ def free_runs(boxes: DataFrame, key: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy(F.col("box.x"), F.col("box.x") + F.col("box.width")).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.col("box.x") + F.col("box.width")).over(before)
     return boxes.select(key, reach.alias("start"), F.col("box.x").alias("end")).where("end > start")
+
+
+def logical_cases(cases: DataFrame) -> DataFrame:
+    """(page_id, value): every benchmark case as canonical JSON, names sorted, nulls written.
+
+    cases  page_id, case_family, layout_family, expected_layout, expected_blank, generator_seed, image_sha256, regions
+
+    The number of lines is that of the regions; a null list counts as empty, null elements are left out. In
+    order of page_id the rows are the list of cases of a logical manifest; images are no part of it.
+    """
+    kept = F.filter(F.coalesce("regions", F.array().cast(cases.schema["regions"].dataType)), lambda r: r.isNotNull())
+    box = lambda b: F.when(b.isNotNull(), F.struct(b["height"].alias("height"), b["width"].alias("width"), b["x"].alias("x"), b["y"].alias("y")))
+    regions = F.transform(
+        kept,
+        lambda r: F.struct(
+            box(r["bounding_box"]).alias("bounding_box"), r["column_index"].alias("column_index"), r["reading_order_index"].alias("reading_order_index"),
+            r["region_id"].alias("region_id"), r["region_kind"].alias("region_kind"),
+        ),
+    )
+    record = F.struct(
+        "case_family", "expected_blank", "expected_layout", F.size(regions).alias("expected_line_count"), "generator_seed", "image_sha256", "layout_family", "page_id",
+        regions.alias("regions"),
+    )
+    return cases.select("page_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))

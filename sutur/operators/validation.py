@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,3 +198,21 @@ def dataset_statistics(samples: DataFrame) -> DataFrame:
 def character_frequency(texts: DataFrame, column: str = "text") -> DataFrame:
     """(ch, n) of all code points; counted before the shuffle, at most one row per code point comes out."""
     return texts.select(F.explode(characters(F.col(column))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_source_report(sources: DataFrame) -> tuple[dict[str, object], DataFrame]:
+    """({phrase_count, all_nfc, unique_character_count, source_set_fingerprint}, character frequency with code points).
+
+    sources  any columns with ``text``; the fingerprint is over the canonical JSON list of the rows in
+    order of their lines. Null texts count as empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    frequency = character_frequency(sources.select(text.alias("text"))).select("ch", code_point_label(F.col("ch")).alias("code_point"), "n")
+    flat = sources.select(text.alias("text"), nfc(text).alias("_nfc")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("text") == F.col("_nfc")).alias("nfc")).head()
+    lines = sources.select(F.to_json(F.struct(*sorted(sources.columns))).alias("line")).orderBy("line")
+    digest = hashlib.sha256(b"[")
+    for number, row in enumerate(lines.toLocalIterator(prefetchPartitions=True)):
+        digest.update((b"," if number else b"") + row.line.encode("utf-8"))
+    digest.update(b"]")
+    report = {"phrase_count": flat.n, "all_nfc": bool(flat.nfc) if flat.n else True, "unique_character_count": frequency.count(), "source_set_fingerprint": digest.hexdigest()}
+    return report, frequency

@@ -23,6 +23,7 @@ from sutur.functions.geometry import (
 from sutur.functions.sequences import collapse_path, first_argmax, minimum_timesteps
 from sutur.operators import assembly, layout, regions
 from sutur.session import table
+from sutur.sources import synthetic
 
 # Event types as classes of frames, 0 is blank.
 _CLASSES = ("view", "click", "signup", "purchase")
@@ -166,6 +167,12 @@ def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q57(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a generated page of the case's family has, for every case of a family that is generated."""
+    cases = table(spark, sf_dir, "vision_cases").select("record_id", F.lower(F.translate("layout_family", "-", "_")).alias("layout_family"))
+    return synthetic.page_placements(cases.where(F.col("layout_family").isin(*synthetic.PLACEMENTS))).drop("layout_family")
+
+
 def queries() -> dict:
     return {
         "q26_iou_join": q26,
@@ -188,6 +195,8 @@ def queries() -> dict:
         "q38_argmax": lambda s, d: table(s, d, "embeddings").select("vec_id", first_argmax(F.col("embedding")).alias("best")),
         "q44b_box_measures": q44,
         "q45_box_changes": q45,
+        "q55_logical_cases": lambda s, d: regions.logical_cases(table(s, d, "vision_cases")),
+        "q57_page_placements": q57,
         "q46_line_centers": lambda s, d: lines(s, d).select("record_id", "pos", center_y(F.col("output_box")).alias("center")),
     }
 
@@ -325,5 +334,22 @@ def oracle_sql() -> dict:
               round({_overlap("a", "b", "y", "height")} / least(a.height, b.height)::double, 9) as overlap_y,
               round(abs(a.y + a.height / 2.0 - b.y - b.height / 2.0), 9)::double as center_distance,
               a.x >= b.x and a.x < b.x + b.width and a.y >= b.y and a.y < b.y + b.height as holds_corner from lines""",
+        "q55_logical_cases": """select page_id, to_json(struct_pack(case_family := case_family, expected_blank := expected_blank, expected_layout := expected_layout,
+              expected_line_count := len(list_filter(coalesce(regions, []), lambda r: r is not null)), generator_seed := generator_seed, image_sha256 := image_sha256,
+              layout_family := layout_family, page_id := page_id, regions := list_transform(list_filter(coalesce(regions, []), lambda r: r is not null), lambda r: struct_pack(
+                bounding_box := case when r.bounding_box is not null then struct_pack(height := r.bounding_box.height, width := r.bounding_box.width, x := r.bounding_box.x, y := r.bounding_box.y) end,
+                column_index := r.column_index, reading_order_index := r.reading_order_index, region_id := r.region_id, region_kind := r.region_kind))))::varchar as value from vision_cases""",
+        "q57_page_placements": """with p(f, l, r, kind, col, tops, first) as (values
+              ('one_column', 144, 936, 'line', null::int, [90, 290, 490, 690, 890], 0), ('mild_skew', 144, 936, 'line', null, [90, 290, 490, 690, 890], 0),
+              ('one_column_wide', 64, 936, 'line', null, [100], 0), ('one_column_wide', 164, 936, 'line', null, [350, 600, 850], 1),
+              ('balanced_two_column', 550, 936, 'line', 0, [90, 350, 610, 870], 0), ('balanced_two_column', 64, 450, 'line', 1, [90, 350, 610, 870], 4),
+              ('uneven_two_column', 550, 936, 'line', 0, [90, 350, 610, 870], 0), ('uneven_two_column', 64, 450, 'line', 1, [90, 350, 610], 4),
+              ('spanning_top', 64, 936, 'spanning', null, [55], 0), ('spanning_top', 550, 936, 'line', 0, [330, 590, 850], 1), ('spanning_top', 64, 450, 'line', 1, [330, 590, 850], 4),
+              ('spanning_middle', 550, 936, 'line', 0, [70, 260], 0), ('spanning_middle', 64, 450, 'line', 1, [70, 260], 2), ('spanning_middle', 64, 936, 'spanning', null, [485], 4),
+              ('spanning_middle', 550, 936, 'line', 0, [720, 940], 5), ('spanning_middle', 64, 450, 'line', 1, [720, 940], 7),
+              ('spanning_footer', 550, 936, 'line', 0, [90, 350, 610], 0), ('spanning_footer', 64, 450, 'line', 1, [90, 350, 610], 3), ('spanning_footer', 64, 936, 'spanning', null, [950], 6)
+            ), flat as (select f, l, r, kind, col, unnest(tops) as y, first + generate_subscripts(tops, 1) - 1 as o from p)
+            select record_id, o::int as reading_order_index, l as "left", r as "right", y, kind as region_kind, col as column_index
+            from vision_cases join flat on f = lower(replace(layout_family, '-', '_'))""",
         "q46_line_centers": f"with {_LINES} select record_id, pos, (b.y + b.height / 2.0)::double as center from lines",
     }
