@@ -11,7 +11,7 @@ from sutur.llm.residue import judge_documents
 from sutur.llm.splits import assign_splits, broken_groups, current_partitions, related_groups, requested_ratios, split_report
 from sutur.llm.terms import marked_terms
 from sutur.llm.tokens import encode_corpus
-from sutur.session import table
+from sutur.session import materialize, table
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,9 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return broken_groups(_groups(spark, sf_dir), current_partitions(table(spark, sf_dir, "split_metadata")))
+    """Documents as they are assigned by whole groups, where the present partitions break their group."""
+    assigned = materialize(_assigned(spark, sf_dir, report=False), "assigned")
+    return broken_groups(assigned, current_partitions(table(spark, sf_dir, "split_metadata")))
 
 
 def _assigned(spark: SparkSession, sf_dir: str, report: bool) -> DataFrame:
