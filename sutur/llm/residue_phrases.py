@@ -22,41 +22,54 @@ upstream connect error|before headers were read|invalid response|invalid answer|
 down for maintenance|undergoing maintenance|unable to handle your request|over capacity|log in again|sign in again
 failed to fetch|could not connect|no data received|exited with code 0|out of memory
 stack trace|traceback most recent call last|core dumped|segmentation fault|broken pipe|fatal error|parse error|syntax error|uncaught exception|unhandled exception|on line 0|py line 0|php on line 0|line 0 in|in main
-keyerror|oserror|ioerror|valueerror|runtimeerror|typeerror|indexerror|attributeerror|nullpointerexception|memory size exhausted|call to undefined function|undefined index|undefined variable|no such file or directory|content type text html
+keyerror|oserror|ioerror|valueerror|runtimeerror|typeerror|indexerror|attributeerror|nullpointerexception|memory size exhausted|call to undefined function|undefined index|undefined variable|no such file or directory|cannot find the file|cannot read properties|is not defined|is not a function|null reference|unhandled|server not responding|not responding|does not respond|invalid session|invalid token|expired session|content type text html
 """,
-    "de": "seite nicht gefunden|konnte nicht gefunden werden|nicht gefunden|ist nicht verfügbar|nicht erreichbar|zugriff verweigert|kein zugriff|interner serverfehler|serverfehler|fehler 0|ein fehler ist aufgetreten|ist aufgetreten|ist ein fehler aufgetreten|bitte versuchen sie es später|versuchen sie es später erneut|sitzung ist abgelaufen|zeitüberschreitung|wartungsarbeiten",
-    "fr": "page introuvable|est introuvable|introuvable|page non trouvée|nexiste pas|nexiste plus|accès refusé|accès interdit|erreur interne du serveur|erreur serveur|erreur 0|une erreur est survenue|une erreur sest produite|veuillez réessayer|réessayer plus tard|service indisponible|session a expiré|en maintenance",
-    "es": "página no encontrada|no se ha encontrado|no se encontró|no encontrada|no existe|acceso denegado|acceso prohibido|error interno del servidor|error del servidor|error 0|ha ocurrido un error|se ha producido un error|ocurrió un error|un error inesperado|inténtelo de nuevo|inténtalo de nuevo|vuelva a intentarlo|servicio no disponible|sesión ha caducado|sesión ha expirado|en mantenimiento",
-    "pt": "página não encontrada|não foi encontrada|não foi encontrado|não encontrada|não existe|acesso negado|erro interno do servidor|erro no servidor|erro 0|ocorreu um erro|erro inesperado|tente novamente|serviço indisponível|sessão expirou|em manutenção",
-    "it": "pagina non trovata|non trovata|non è stata trovata|non esiste|accesso negato|errore interno del server|errore del server|errore 0|si è verificato un errore|errore imprevisto|riprova più tardi|si prega di riprovare|riprovare più tardi|servizio non disponibile|sessione è scaduta|sessione scaduta|in manutenzione",
-    "nl": "pagina niet gevonden|niet worden gevonden|niet gevonden|kan niet worden|bestaat niet|toegang geweigerd|interne serverfout|serverfout|fout 0|er is een fout opgetreden|is opgetreden|er ging iets mis|er is iets misgegaan|probeer het later opnieuw|probeer het opnieuw|niet beschikbaar|sessie is verlopen",
+    "de": "seite nicht gefunden|nicht verfügbar|antwortet nicht|reagiert nicht|nicht geladen werden|konnte nicht gefunden werden|nicht gefunden|ist nicht verfügbar|nicht erreichbar|zugriff verweigert|kein zugriff|interner serverfehler|serverfehler|fehler 0|ein fehler ist aufgetreten|ist aufgetreten|ist ein fehler aufgetreten|bitte versuchen sie es später|versuchen sie es später erneut|sitzung ist abgelaufen|zeitüberschreitung|wartungsarbeiten",
+    "fr": "page introuvable|ne répond pas|non disponible|indisponible|est introuvable|introuvable|page non trouvée|nexiste pas|nexiste plus|accès refusé|accès interdit|erreur interne du serveur|erreur serveur|erreur 0|une erreur est survenue|une erreur sest produite|veuillez réessayer|réessayer plus tard|service indisponible|session a expiré|en maintenance",
+    "es": "página no encontrada|no responde|no disponible|no está disponible|no se ha encontrado|no se encontró|no encontrada|no existe|acceso denegado|acceso prohibido|error interno del servidor|error del servidor|error 0|ha ocurrido un error|se ha producido un error|ocurrió un error|un error inesperado|inténtelo de nuevo|inténtalo de nuevo|vuelva a intentarlo|servicio no disponible|sesión ha caducado|sesión ha expirado|en mantenimiento",
+    "pt": "página não encontrada|não responde|não disponível|indisponível|não foi encontrada|não foi encontrado|não encontrada|não existe|acesso negado|erro interno do servidor|erro no servidor|erro 0|ocorreu um erro|erro inesperado|tente novamente|serviço indisponível|sessão expirou|em manutenção",
+    "it": "pagina non trovata|non risponde|non disponibile|non trovata|non è stata trovata|non esiste|accesso negato|errore interno del server|errore del server|errore 0|si è verificato un errore|errore imprevisto|riprova più tardi|si prega di riprovare|riprovare più tardi|servizio non disponibile|sessione è scaduta|sessione scaduta|in manutenzione",
+    "nl": "pagina niet gevonden|reageert niet|niet worden gevonden|niet gevonden|kan niet worden|bestaat niet|toegang geweigerd|interne serverfout|serverfout|fout 0|er is een fout opgetreden|is opgetreden|er ging iets mis|er is iets misgegaan|probeer het later opnieuw|probeer het opnieuw|niet beschikbaar|sessie is verlopen",
     "pl": "nie znaleziono|nie została znaleziona|strona nie istnieje|nie istnieje|odmowa dostępu|brak dostępu|wewnętrzny błąd serwera|błąd serwera|błąd 0|wystąpił błąd|spróbuj ponownie|usługa niedostępna|sesja wygasła",
     "ru": "страница не найдена|не найдена|не найдено|не найден|не существует|доступ запрещен|доступ запрещён|внутренняя ошибка сервера|ошибка сервера|ошибка 0|произошла ошибка|повторите попытку|попробуйте позже|попробуйте еще раз|сервис недоступен|временно недоступен|сессия истекла",
     "tr": "sayfa bulunamadı|bulunamadı|mevcut değil|erişim engellendi|erişim reddedildi|sunucu hatası|hata 0|bir hata oluştu|tekrar deneyin|daha sonra tekrar deneyin|hizmet kullanılamıyor|oturumunuz sona erdi",
-    "ja": "見つかりません|見つかりませんでした|存在しません|アクセスが拒否されました|アクセスできません|サーバーエラー|内部エラー|エラー 0|エラーが発生しました|再度お試しください|もう一度お試しください|メンテナンス中|ご利用いただけません",
-    "zh": "页面不存在|不存在|未找到|找不到|无法找到|無法找到|找不到頁面|拒绝访问|访问被拒绝|禁止访问|服务器错误|内部错误|错误 0|发生错误|出错了|请稍后再试|請稍後再試|服务不可用|系统维护",
-    "ar": "الصفحة غير موجودة|غير موجودة|لم يتم العثور على|تم رفض الوصول|الوصول مرفوض|خطأ 0|خطأ في الخادم|حدث خطأ|خطأ غير متوقع|حاول مرة أخرى|يرجى المحاولة لاحقا|الخدمة غير متاحة|غير متاحة|انتهت الجلسة",
+    "ja": "見つかりません|アクセスが集中して|表示できません|応答がありません|見つかりませんでした|存在しません|アクセスが拒否されました|アクセスできません|サーバーエラー|内部エラー|エラー 0|エラーが発生しました|再度お試しください|もう一度お試しください|メンテナンス中|ご利用いただけません",
+    "zh": "页面不存在|无法访问|无法显示|没有响应|不存在|未找到|找不到|无法找到|無法找到|找不到頁面|拒绝访问|访问被拒绝|禁止访问|服务器错误|内部错误|错误 0|发生错误|出错了|请稍后再试|請稍後再試|服务不可用|系统维护",
+    "ar": "الصفحة غير موجودة|لا يستجيب|لا يمكن الوصول|غير موجودة|لم يتم العثور على|تم رفض الوصول|الوصول مرفوض|خطأ 0|خطأ في الخادم|حدث خطأ|خطأ غير متوقع|حاول مرة أخرى|يرجى المحاولة لاحقا|الخدمة غير متاحة|غير متاحة|انتهت الجلسة",
     "fa": "پیدا نشد|یافت نشد|وجود ندارد|دسترسی غیر مجاز|دسترسی غیرمجاز|خطای 0|خطای سرور|خطای داخلی|خطایی رخ داد|رخ داد|خطای غیر منتظره|دوباره تلاش کنید|در دسترس نیست",
     "ur": """
 صفحہ نہیں ملا|نہیں ملا|نہیں ملی|نہیں مل سکا|نہیں مل سکی|موجود نہیں|دستیاب نہیں|رسائی ممنوع|اجازت نہیں|دیکھنے کی اجازت|اندرونی خرابی|سرور کی خرابی|خرابی 0|غلطی 0|نقص 0|نمبر 0|خرابی پیش آئی|خرابی پیش آ گئی|خرابی واقع ہوئی|کچھ غلط ہو گیا
 لوڈ نہ ہو سکا|لوڈ نہ ہو سکی|لوڈ نہیں ہو سکا|لوڈ نہیں ہو سکی|کھل نہ سکا|کھل نہ سکی|مکمل نہ ہوئی|مکمل نہ ہو سکی|مکمل نہیں ہو سکا|رد ہوئی|رد کر دی گئی|جواب نہیں دے رہا|رابطہ منقطع|مصروف ہے|عارضی طور پر بند|ہٹا دیا گیا|ہٹا دی گئی
 وقت ختم|مہلت ختم|دوبارہ کوشش کریں|دوبارہ کوشش کیجیے|بعد میں کوشش کریں|بعد کوشش کریں|دوبارہ لاگ ان|منتظم سے رابطہ|واپس جائیں
 """,
+    "sv": "sidan hittades inte|sidan kunde inte hittas|hittades inte|kunde inte hittas|finns inte|åtkomst nekad|internt serverfel|serverfel|fel 0|ett fel uppstod|ett fel har uppstått|försök igen|inte tillgänglig",
+    "da": "siden blev ikke fundet|siden findes ikke|ikke fundet|findes ikke|adgang nægtet|serverfejl|fejl 0|der opstod en fejl|prøv igen|siden ble ikke funnet|ikke funnet|ingen tilgang|det oppstod en feil|feil 0",
+    "fi": "sivua ei löytynyt|ei löytynyt|ei löydy|pääsy estetty|palvelinvirhe|virhe 0|tapahtui virhe|yritä uudelleen",
+    "cs": "stránka nenalezena|stránka nebyla nalezena|nenalezena|nebyla nalezena|neexistuje|přístup odepřen|chyba serveru|chyba 0|došlo k chybě|zkuste to znovu|stránka sa nenašla",
+    "hu": "az oldal nem található|nem található|hozzáférés megtagadva|szerverhiba|hiba 0|hiba történt|próbálja újra",
+    "ro": "pagina nu a fost găsită|nu a fost găsită|nu există|acces interzis|eroare de server|eroare 0|a apărut o eroare|încercați din nou",
+    "el": "η σελίδα δεν βρέθηκε|δεν βρέθηκε|σφάλμα 0|σφάλμα διακομιστή|προέκυψε σφάλμα|δοκιμάστε ξανά",
+    "uk": "сторінку не знайдено|не знайдено|доступ заборонено|помилка сервера|помилка 0|сталася помилка|спробуйте пізніше",
+    "ko": "페이지를 찾을 수 없습니다|찾을 수 없습니다|존재하지 않습니다|접근이 거부되었습니다|서버 오류|오류 0|오류가 발생했습니다|다시 시도해 주세요",
+    "vi": "không tìm thấy trang|không tìm thấy|không tồn tại|truy cập bị từ chối|lỗi máy chủ|lỗi 0|đã xảy ra lỗi|vui lòng thử lại",
+    "id": "halaman tidak ditemukan|tidak ditemukan|akses ditolak|kesalahan server|kesalahan 0|terjadi kesalahan|silakan coba lagi|coba lagi",
+    "he": "הדף לא נמצא|לא נמצא|הגישה נדחתה|שגיאת שרת|שגיאה 0|אירעה שגיאה|נסה שוב",
     "hi": "पृष्ठ नहीं मिला|नहीं मिला|पेज नहीं मिला|उपलब्ध नहीं है|पहुँच अस्वीकृत|त्रुटि 0|सर्वर त्रुटि|त्रुटि हुई|पुनः प्रयास करें|फिर से प्रयास करें|बाद में प्रयास करें",
 }
 # Errors that happen to other things too; they count beside a thing of THINGS only.
 ERRORS_OF_THINGS = """
+unavailable|is unavailable|not responding|no longer valid|has been disabled|has been deactivated|cannot be displayed|cannot be loaded|was not found|were not found|is missing|no response
 not found|cannot be found|cant be found|could not be found|couldnt be found|cant find|couldnt find|cannot find|does not exist|doesnt exist|no longer exists|no longer available|nothing was found|has been removed|forbidden|timed out|has expired|has timed out|isnt working|is not working|isnt available|is not available|not available right now|cant be reached
 cannot be reached|an error occurred|an error has occurred|error occurred|overloaded|failed to load|failed to open|could not be loaded|could not be opened|could not be read|could not be displayed|no output|returned nothing|returned no data|exited|has failed|failed|crashed|aborted|you do not have permission|you dont have permission|may not view|has no right to|please try again|may not
 """
 THINGS = """
 page|pages|file|files|document|folio|scan|image|url|link|address|site|website|app|application|server|servers|host|gateway|proxy|database|service|system|process|worker|job|task|model|engine|recogniser|recognizer|recognition|checkpoint|session|connection|request|response|resource|viewer|script|error 0|code 0|browser|account|upload|download
-seite|página|pagina|strona|strony|страница|sayfa|ページ|页面|頁面|الصفحة|صفحہ|صفحه|पृष्ठ|पेज
+seite|server|serveur|servidor|服务器|网页|網頁|サーバー|الخادم|سرور|sidan|siden|oldal|stránka|halaman|página|pagina|strona|strony|страница|sayfa|ページ|页面|頁面|الصفحة|صفحہ|صفحه|पृष्ठ|पेज
 """
 # Notices that scripts are required and checks of the browser.
 SCRIPTS = """
-javascript|java script|scripting|scripts|noscript|script enabled|script enabled browser|enable js|activate js|turn on js|switch on js|allow js|requires js|needs js|without js
-checking your browser|verifying your browser|verifying you are human|verify you are human|are you a robot|not a robot|just a moment|attention required|enable cookies
+자바스크립트를|javascript|java script|scripting|scripts|noscript|script enabled|script enabled browser|enable js|activate js|turn on js|switch on js|allow js|requires js|needs js|without js
+checking your browser|verifying your browser|verifying you are human|verify you are human|are you a robot|not a robot|just a moment|attention required|enable cookies|browser check|security check|captcha|please wait|one moment please|ddos protection|loading
 جاوا اسکرپٹ|جاوااسکرپٹ|اسکرپٹ|جافا سكريبت|جافاسكريبت|جاوا اسکریپت|جاوااسکریپت|जावास्क्रिप्ट|джаваскрипт
 """
 # Fillers and texts that announce text.
@@ -64,6 +77,7 @@ FILLERS = """
 will appear here|goes here|text here|title here|description here|content here|name here|insert text|add your|enter your|type your|write your|write this part|insert image|lorem text
 coming soon|under construction|content to follow|text to follow|details to follow|to follow|to be added|to be written|to be replaced|to be confirmed|to be determined|to be announced|to be completed
 tbd|t b d|tbc|tba|todo|fixme|placeholder|for layout only|for position only|do not publish|temporary text|dummy text|filler text|sample text|sample copy|sample sentence|stand in wording|only a sample|this is a sample|untitled document|your text
+replace this text|edit this text|click to add|click to edit|click here to add|type here|add a caption|add caption|add a title|add text|your logo|your headline|your title here|insert your|your own text|image here|caption here|heading here|added later|more text here
 hier steht ihr text|hier text einfügen|platzhalter|blindtext|demnächst verfügbar|im aufbau|in kürze|folgt in kürze|inhalt folgt
 texte à venir|à venir|bientôt disponible|votre texte ici|texte de remplissage|faux texte|en construction|à compléter
 próximamente|su texto aquí|texto de ejemplo|texto de relleno|en construcción|por completar|em breve|seu texto aqui|texto de exemplo|em construção
@@ -82,17 +96,18 @@ oops|whoops|sorry|were sorry|we are sorry|unfortunately|error|warning|notice|att
 page|pages|file|files|document|documents|folio|scan|scans|image|images|picture|text|content|contents|description|transcription|copy|wording|summary|remark|notes|title|paragraph|sentence|sentences|section|box|part|line|word|end|app|application|site|website|web|portal|address|url|link|viewer|reader|editor
 server|servers|host|port 0|port|gateway|proxy|database|store|storage|service|services|system|process|worker|worker 0|job|task|model|engine|recogniser|recognizer|recognition|checkpoint|pixels|shelf|account|session|user|connection|request|requests|response|answer|query|timeout|code|ref|reference|id|r0|ray|nginx|apache|apache 0|nginx 0|microsoft|cloudflare
 requested|looking|looking for|wanted|may|should|could|would|problem|continues|continue|loading|load|open|view|viewing|show|see|get|find|run|running|use|using|need|needs|requires|required|depends|works|work|wont|start|cannot|cant|dont|does|do|draw|needed|refresh|reload|restart|retry|return|back|home|minutes|minute|few|moment|later|soon|here|there
-access|accessing|establishing|establish|function|functioning|properly|correctly|best|experience|order|resource|resources|database connection|data|feature|features|display|displayed|proceed|following|above|button|click|tap|device|internet|network|offline|check|enable|enabled|enabling|activate|allow|allowed|turn|turn on|turn off|switch|switch on|switched off|off|disabled|disable|blocked|blocking|blocker|active|support|supports|supported|browser|browsers|cookies|client side|client|appears|client|http|https|html|status|detail|details|message|main|load|recognise|recognize|var|www|php|index|py|get|mysqli|connect|human|verifying|checking|ip|request|security|introduction|write|add|sample|dummy|temporary|stand in|real|example|quick|repeats|replaced|wird|published
-sie|es|bitte|die|der|das|diese|seite|muss|müssen|sein|ist|deaktiviert|aktiviert|existiert|versuchen|fortzufahren|benötigt|diesen|dienst|anmelden|in|ihrem|ihr|browser|aktivieren|und|wurde|werden|auf|um|zu|erneut|später|gesuchte|angeforderte|ein|fehler|text|leider|website|hier|interner|konnte
-la|le|les|que|vous|doit|être|activé|désactivé|nécessite|fonctionner|afin|recherchez|demandée|page|pour|continuer|veuillez|activer|votre|navigateur|dans|est|et|une|erreur|plus tard|désolé|désolés|cette|du|de|un|activez|site|utiliser|ce
-el|los|por|favor|debe|estar|activado|desactivado|requiere|funcionar|necesita|active|activar|habilite|su|navegador|en|que|busca|solicitada|página|para|continuar|más|tarde|lo sentimos|una|se|este|sitio|esta
-o|os|ative|ativar|habilite|no seu|navegador|para continuar|a|página|solicitada|que você|procura|mais tarde|desculpe|um|do|da|este|site
+access|accessing|establishing|establish|function|functioning|properly|correctly|best|experience|order|resource|resources|database connection|data|feature|features|display|displayed|proceed|following|above|button|click|tap|device|internet|specified|invalid|expired|token|wait|progress|settings|complete|looks|like|read|properties|video|headline|logo|caption|own|edit|search|type|replace|network|offline|check|enable|enabled|enabling|activate|allow|allowed|turn|turn on|turn off|switch|switch on|switched off|off|disabled|disable|blocked|blocking|blocker|active|support|supports|supported|browser|browsers|cookies|client side|client|appears|client|http|https|html|status|detail|details|message|main|load|recognise|recognize|var|www|php|index|py|get|mysqli|connect|human|verifying|checking|ip|request|security|introduction|write|add|sample|dummy|temporary|stand in|real|example|quick|repeats|replaced|wird|published
+sie|es|bitte|gewünschte|angefragte|die|der|das|diese|seite|muss|müssen|sein|ist|deaktiviert|aktiviert|existiert|versuchen|fortzufahren|benötigt|diesen|dienst|anmelden|in|ihrem|ihr|browser|aktivieren|und|wurde|werden|auf|um|zu|erneut|später|gesuchte|angeforderte|ein|fehler|text|leider|website|hier|interner|konnte
+la|le|les|que|serveur|vous|doit|être|activé|désactivé|nécessite|fonctionner|afin|recherchez|demandée|page|pour|continuer|veuillez|activer|votre|navigateur|dans|est|et|une|erreur|plus tard|désolé|désolés|cette|du|de|un|activez|site|utiliser|ce
+el|los|por|servidor|favor|debe|estar|activado|desactivado|requiere|funcionar|necesita|active|activar|habilite|su|navegador|en|que|busca|solicitada|página|para|continuar|más|tarde|lo sentimos|una|se|este|sitio|esta
+o|os|servidor|ative|ativar|habilite|no seu|navegador|para continuar|a|página|solicitada|que você|procura|mais tarde|desculpe|um|do|da|este|site
 per|utilizzare|questo|sito|è|necessario|abilitare|attivare|nel|tuo|browser|continuare|più|tardi|spiacenti|pagina|richiesta|che|stai|cercando|un|il|lo
 deze|pagina|kan|schakel|in|om|te|gebruiken|site|uw|browser|de|het|een|alstublieft|sorry|opgevraagde
 proszę|włączyć|włącz|w|przeglądarce|strony|strona|stronę|aby|kontynuować|szukana|później|przepraszamy|ta|ponownie
 пожалуйста|включите|чтобы|продолжить|отключен|отключён|требуется|необходимо|работает|войдите|в|вашем|браузере|для|продолжения|страница|запрашиваемая|позже|извините|попытку|и|на|этот|сайт|к сожалению|работы
+vänligen|aktivera|slå på|i din webbläsare|webbläsare|venligst|aktiver|i din browser|povolte|prosím|prohlížeči|kérjük|engedélyezze|vă rugăm|activați|увімкніть|будь ласка|자바스크립트를|활성화해|주세요|vui lòng|bật|trình duyệt|silakan|aktifkan|di browser|anda
 lütfen|tarayıcınızda|etkinleştirin|bu|siteyi|kullanmak|için|sayfa|aradığınız|üzgünüz|daha sonra|devam etmek|i|i etkinleştirin
-お探しのページ|ページが|ページは|は|が|を|に|の|で|ください|してください|有効にして|有効に|ブラウザ|お使いの|申し訳ございません|申し訳ありません|後ほど|しばらく|して|再読み込み
+です|ただいま|います|しています|から|してから|お探しのページ|ページが|ページは|は|が|を|に|の|で|ください|してください|有効にして|有効に|ブラウザ|お使いの|申し訳ございません|申し訳ありません|後ほど|しばらく|して|再読み込み
 请|启用|后|重试|您|访问|的|页面|浏览器|在|中|并|刷新|以|继续|抱歉|很抱歉|该|此|网站|開啟|请求
 يرجى|تفعيل|في|المتصفح|الصفحة|المطلوبة|عذرا|لاحقا|من|فضلك|متصفحك|هذا|الموقع|على|أن|التي|تبحث|عنها|لمتابعة
 صفحه|مورد|نظر|لطفا|مرورگر|خود|را|در|فعال|کنید|متاسفانه|از|برای|این|سایت|بعدا|متأسفیم

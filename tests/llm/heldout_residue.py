@@ -155,3 +155,32 @@ LAST_CONTENT = [
     "The order of the chapters differs in the second manuscript.", "The judge found that the contract does not exist.", "They failed to open the gate in time.", "[laughs] That was a long time ago.",
     "Sie müssen die Suppe eine Stunde kochen.", "Она искала книгу весь день и не нашла.", "دروازہ بند ہے اور چابی گم ہو گئی ہے۔", "Der Dienst im Krankenhaus war hart.",
 ]
+
+# A fourth set, written just before the lists were widened for the last time and in sight then, so it is no measure.
+FOURTH_RESIDUE = [
+    "The system cannot find the file specified.", "Error 1020: Access denied", "This video is unavailable.", "Whoops, looks like something went wrong.", "Internal Server Error - Write",
+    "Uncaught TypeError: Cannot read properties of undefined", "No such file or directory", "Request timed out.", "The connection has timed out", "Invalid or expired session token",
+    "Please turn on JavaScript in your browser settings.", "JavaScript must be enabled in order to use this site.", "Complete the security check to access the site", "Loading, please wait...",
+    "Type here to search", "Your logo here", "Add a caption", "Title goes here", "Description to be added later.", "Lorem ipsum dolor sit amet", "xxxxx xxxxx xxxx",
+    "Thank you, {{ contact.firstname }}!", "Dear %CUSTOMER_NAME%,", "[Date]\n[Company Name]", "Hallo ${name}, willkommen!",
+    "Sidan kunde inte hittas.", "Siden blev ikke fundet", "Stránka nenalezena", "페이지를 찾을 수 없습니다", "Không tìm thấy trang", "Halaman tidak ditemukan", "Сторінку не знайдено",
+    "Die gewünschte Seite ist leider nicht verfügbar.", "Le serveur ne répond pas.", "El servidor no responde.", "アクセスが集中しています。しばらくしてから再度お試しください。", "网页无法访问", "الخادم لا يستجيب", "سرور دستیاب نہیں ہے۔ دوبارہ کوشش کریں۔", "یہاں متن درج کریں",
+]
+FOURTH_CONTENT = [
+    "Wait for the tide, said the pilot, and keep the lamp lit.", "The captain added a caption to every photograph.", "The company logo was painted over in 1954.", "Please replace the lid after use.",
+    "The search for the ship went on for a month.", "The new edition is unavailable in shops outside the city.", "They write the date in the upper corner.", "The session of parliament was long and dull.",
+    "Hon kunde inte hitta sin bok.", "Er wartete lange, aber niemand kam.", "Le serveur apporta deux cafés.", "El camarero no responde a nadie.", "سرخ روشنائی سے لکھا ہوا عنوان مٹ گیا ہے۔", "彼は駅で長い間待っていた。",
+]
+
+# A fifth set, written after the last change of the lists; nothing was changed for it.
+FIFTH_RESIDUE = [
+    "Database error: too many open connections.", "Your request could not be processed.", "Sorry, this content isn't available right now.", "We're having trouble loading this page.", "HTTP 503 Service Unavailable",
+    "PHP Fatal error: Allowed memory size of 134217728 bytes exhausted", "This feature requires JavaScript.", "You have JavaScript turned off.", "Enable JavaScript and cookies to continue", "Are you a robot?",
+    "Caption text", "Insert picture here", "This section is intentionally left blank.", "Content coming soon", "Dear <FIRST_NAME>,", "{{#if user}}Hello{{/if}}", "Signed: [Signature]",
+    "Diese Website benötigt JavaScript.", "Der Zugriff wurde verweigert.", "Erreur interne, veuillez réessayer.", "Tu navegador no admite JavaScript.", "Errore 500: qualcosa è andato storto", "Доступ к сайту ограничен",
+    "Strona tymczasowo niedostępna", "エラー：ページを表示できません", "请开启浏览器的JavaScript功能", "تعذر تحميل الصفحة", "براؤزر میں جاوا اسکرپٹ بند ہے",
+]
+FIFTH_CONTENT = [
+    "Memory of the fire was kept alive in songs.", "The trouble with the old pump was never solved.", "His request was processed within a week.", "This section of the wall is older than the gate.",
+    "Robots build cars in the hall next door.", "The picture shows a river at night.", "The signature on the letter is hers.", "Der Zug hatte wegen Nebel Verspätung.", "La erupción duró dos días.", "کھڑکی بند تھی اور کمرے میں اندھیرا تھا۔",
+]
