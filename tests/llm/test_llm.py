@@ -87,6 +87,38 @@ def test_near_texts_lose_nothing(spark):
     assert overlap.near_texts(frame(train), frame(held).limit(0)).count() == 0
 
 
+def test_near_texts_shuffle_little_more_than_the_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh کہ") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    made = lambda n: spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(14)),) for _ in range(n)], "text string")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def cost(n):
+        begun = shuffled()
+        overlap.near_texts(made(n), made(n // 2)).collect()
+        return shuffled() - begun
+
+    few, many = cost(200), cost(4000)
+    assert many - few < 4 * 100 * 1.5 * (4000 - 200)  # four times texts of some 100 bytes; the keys alone are thousands of bytes a text
+
+
+def test_near_texts_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(30, 60))).strip("  ").replace("  ", "b") for _ in range(60)]
+    train, held = sorted(set(base)), sorted({_changed(b, rng.randint(0, len(b) // 4), rng) for b in base})
+    held = [t for t in held if len(t) >= 24]
+    train = [t for t in train if len(t) >= 24]
+    want = {(t, e) for t in train for e in held if _distance(t, e) * 5 <= max(len(t), len(e))}
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts] * 2, "text string")
+    monkeypatch.setattr(overlap, "BLOCK_KEYS", 300)
+    monkeypatch.setattr(overlap, "_MEETINGS", 64)
+    found = [(r.train_text, r.eval_text) for r in overlap.near_texts(frame(train), frame(held)).collect()]
+    assert sorted(found) == sorted(want) and len(want) > 20
+    sizes = [(30, 1), (31, 5), (33, 40), (36, 2)]
+    assert overlap.blocks(sizes) == [(30, 31, 0, 1), *[(33, 33, i, 2) for i in range(2)], (36, 36, 0, 1)]
+    assert overlap.blocks([]) == []
+
+
 def test_cross_split_pairs(spark):
     text = "a line of text that is long enough"
     rows = [("s1", "tr", "images//a.png", None), ("s2", "ev", "./images/a.png", None), ("s3", "tr", None, text), ("s4", "ev", "/bad", "  a line of  text that is long enougH"),
